@@ -9,6 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from palimpsest.llm.common import table
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.line_dedup import remove_wide_lines
+
+    return remove_wide_lines(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_wide_lines", "n_removed", "text"
+    )
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.quality_rules import quality_rules
 
@@ -22,11 +30,20 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.secret_scan import secret_scan
+
+    columns = ("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+    return secret_scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select(*columns)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op3_line_dedup,
         op8_quality_rules,
         op9_sentencepiece,
+        op10_secret_scan,
     )
 }
 
@@ -65,6 +82,27 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b"""
 
 
+def _op3_sql() -> str:
+    from palimpsest.llm.line_dedup import MAX_SHARE, MIN_SITES
+
+    space = r" \t\n\x0b\x0c\r"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id, coalesce(source, '') AS site, text,
+                  string_split(text, chr(10)) AS ls FROM documents),
+u AS (SELECT rn, site, unnest(range(1, len(ls) + 1)) AS i, ls FROM d),
+l AS (SELECT rn, site, i, length(ls[i]) AS n, regexp_replace(ls[i], '^[{space}]+|[{space}]+$', '', 'g') AS x FROM u),
+w AS (SELECT x FROM l WHERE x <> '' GROUP BY x HAVING count(DISTINCT site) >= {MIN_SITES}),
+h AS (SELECT rn, list(i) AS wide, sum(n) AS cut FROM l WHERE x IN (SELECT x FROM w) GROUP BY rn),
+n AS (SELECT rn, count(*) AS n_lines FROM l WHERE x <> '' GROUP BY rn),
+j AS (SELECT d.doc_id, d.text, d.ls, coalesce(n.n_lines, 0) AS n_lines, h.wide,
+             h.wide IS NOT NULL AND h.cut <= length(d.text) * {MAX_SHARE} AS c
+      FROM d LEFT JOIN h ON d.rn = h.rn LEFT JOIN n ON d.rn = n.rn)
+SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(coalesce(len(wide), 0) AS BIGINT) AS n_wide_lines,
+       CAST(CASE WHEN c THEN len(wide) ELSE 0 END AS BIGINT) AS n_removed,
+       CASE WHEN c THEN array_to_string(list_filter(ls, lambda x, i: NOT list_contains(wide, i)), chr(10)) ELSE text END AS text
+FROM j"""
+
+
 def oracles() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {"op8_quality_rules": _op8_sql()}
+    return {"op3_line_dedup": _op3_sql(), "op8_quality_rules": _op8_sql()}
