@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import slices, small_batches
 
-Q = 8
-MAX_EDIT_SHARE = 0.10
+Q = 10
+MAX_EDIT_SHARE = 0.08
 BLOCK_CHARS = 2_000_000
 _BITS = 22
 _MULT = 0x9E3779B97F4A7C15
@@ -117,6 +117,7 @@ class Items:
     def __init__(self, items: list[tuple[int, str]], q: int = Q, share: float = MAX_EDIT_SHARE):
         self.q = q
         self.ids: list = []
+        self.words: list[str] = []
         self.codes: list[np.ndarray] = []
         self.short: list[tuple[int, str]] = []
         budgets, bounds = [], []
@@ -129,6 +130,7 @@ class Items:
                 continue
             budget = min(int(share * len(text)), (len(text) - q) // q)
             self.ids.append(item_id)
+            self.words.append(text)
             self.codes.append(codes(text).astype(np.int64))
             budgets.append(budget)
             bounds.append(len(text) + 1 - q * (budget + 1))
@@ -142,8 +144,11 @@ class Items:
         self.pos = np.concatenate([np.arange(len(g)) for g in grams])[order] if grams else np.zeros(0, np.int64)
         self.bits = np.zeros(1 << _BITS, bool)
         self.bits[self.gram >> np.uint64(64 - _BITS)] = True
-        self.least = int(self.bound.min()) if len(self.bound) else 0
-        self.reach = int((self.length + self.budget).max()) if len(self.bound) else 0
+        # For items of similar length: least hits asked for, and the longest stretch that they fill.
+        octave = np.log2(np.maximum(self.length, 1)).astype(int) * 2 + (self.length * self.length >= 2 * 4.0 ** np.log2(np.maximum(self.length, 1)).astype(int))
+        self.demands = [
+            (int(self.bound[octave == o].min()), int((self.length + self.budget)[octave == o].max())) for o in np.unique(octave)
+        ]
         self.band = int(max(16, self.budget.max(initial=0) + 1))
 
     def candidates(self, c: np.ndarray) -> list[tuple[int, int]]:
@@ -151,17 +156,16 @@ class Items:
         b * band on, band + budget of them."""
         h = gram_hashes(c, self.q)
         hit = self.bits[h >> np.uint64(64 - _BITS)]
-        if int(np.count_nonzero(hit)) < self.least:
-            return []
         at = np.flatnonzero(hit)
         # A hit can matter only if some stretch of `reach` characters around it holds `least` hits.
-        first = at[: len(at) - self.least + 1]
-        dense = at[self.least - 1 :] - first < self.reach
-        if not dense.any():
-            return []
         mark = np.zeros(len(at) + 1, np.int64)
-        np.add.at(mark, np.flatnonzero(dense), 1)
-        np.add.at(mark, np.flatnonzero(dense) + self.least, -1)
+        for least, reach in self.demands:
+            dense = np.flatnonzero(at[least - 1 :] - at[: len(at) - least + 1] < reach) if len(at) >= least else ()
+            if len(dense):
+                np.add.at(mark, dense, 1)
+                np.add.at(mark, dense + least, -1)
+        if not mark.any():
+            return []
         at = at[np.cumsum(mark[:-1]) > 0]
         left = np.searchsorted(self.gram, h[at], "left")
         count = np.searchsorted(self.gram, h[at], "right") - left
@@ -197,7 +201,14 @@ class Items:
         found: dict[int, list[tuple[int, int, int]]] = {}
         for item, band in self.candidates(c):
             low = band * self.band
-            edits, start, end = align_in_band(self.codes[item], signed, low, low + self.band + int(self.budget[item]))
+            high, first = low + self.band + int(self.budget[item]), max(0, low)
+            exact = text.find(self.words[item], first, high - 1 + len(self.words[item]))
+            if exact >= 0:  # what the alignment would find, as nothing costs less than no edit
+                found.setdefault(item, []).append((0, exact, exact + len(self.words[item])))
+                continue
+            stretch = signed[first : max(first, high + len(self.words[item]))]
+            edits, start, end = align_in_band(self.codes[item], stretch, low - first, high - first)
+            start, end = start + first, end + first
             if edits <= self.budget[item]:
                 found.setdefault(item, []).append((edits, start, end))
         for item, spans in found.items():
