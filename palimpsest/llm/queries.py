@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm.common import table
+from palimpsest.llm.common import table, written
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,14 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.warc import planned, read_archives, write_archives
+
+    archives = written(write_archives(planned(table(spark, sf_dir, "pages"))), "warc")
+    columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
+    return read_archives(archives, payloads=False).select(*columns)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.decontaminate import contaminated
 
@@ -53,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op3_line_dedup,
+        op4_warc,
         op6_decontamination,
         op7_minhash_dedup,
         op8_quality_rules,
@@ -117,6 +126,15 @@ SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(coalesce(len(wide), 0) A
 FROM j"""
 
 
+_OP4_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY digest) END AS first FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to, CAST(NULL AS VARCHAR) AS error
+FROM f"""
+
+
 def oracles() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {"op3_line_dedup": _op3_sql(), "op8_quality_rules": _op8_sql()}
+    return {"op4_warc": _OP4_SQL, "op3_line_dedup": _op3_sql(), "op8_quality_rules": _op8_sql()}
