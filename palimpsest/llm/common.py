@@ -54,3 +54,24 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))
+
+
+def hash_sample(docs: DataFrame, text: str, rows: int, chars: int) -> list[str]:
+    """At most `rows` texts of at most `chars` characters together, for training. They are taken
+    from the whole table by a hash of the text, so the choice doesn't depend on partitions' order
+    beyond that bound."""
+    total = docs.count()
+    if not total:
+        return []
+    picked = docs.select(F.col(text).cast("string").alias("t")).filter("t is not null and t <> ''")
+    if total > rows:
+        share = rows / total
+        picked = picked.filter(F.pmod(F.xxhash64("t"), F.lit(1 << 40)) < int(share * (1 << 40)))
+    out: list[str] = []
+    size = 0
+    for row in picked.limit(rows).toLocalIterator():
+        size += len(row.t)
+        if size > chars:
+            break
+        out.append(row.t)
+    return out

@@ -234,6 +234,34 @@ def blocks(benchmark: DataFrame, text: str, item_id: str, block_chars: int) -> I
         yield block
 
 
+def decontaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text: str = "text",
+    item_text: str = "text",
+    item_id: str = "item_id",
+    q: int = Q,
+    share: float = MAX_EDIT_SHARE,
+    block_chars: int = BLOCK_CHARS,
+) -> DataFrame:
+    """docs without the rows in whose text an item occurs. Rows are dropped where they are read;
+    nothing is shuffled or joined."""
+    small_batches(docs.sparkSession)
+
+    def dropper(block: list[tuple[int, str]]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            items = Items(block, q, share)
+            for batch in slices(batches):
+                values = batch.column(text).to_pylist()
+                yield batch.filter(pa.array([not (x and items.matches(normalized(x))) for x in values], pa.bool_()))
+
+        return run
+
+    for block in blocks(benchmark, item_text, item_id, block_chars):
+        docs = docs.mapInArrow(dropper(block), docs.schema)
+    return docs
+
+
 SCHEMA = "doc_id long, item_id long, start long, end long, edits int"
 
 

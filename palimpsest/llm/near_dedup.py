@@ -277,3 +277,11 @@ def near_duplicates(
     return signed.select("id", *key).join(found, key, "left").select(
         F.col("id").alias(row_id), F.when(F.col("id").isNotNull(), F.col("class_id")).alias("class_id")
     )
+
+
+def one_of_each(docs: DataFrame, text: str = "text", row_id: str = "doc_id", **options) -> DataFrame:
+    """One document of each near-duplicate class, that with the least id; of rows that share an id,
+    one. Rows without an id stay."""
+    least = near_duplicates(docs, text, row_id, **options).filter(F.col(row_id) == F.col("class_id")).select(row_id).distinct()
+    kept = docs.join(least, row_id, "left_semi").dropDuplicates([row_id]).select(docs.columns)
+    return kept.unionByName(docs.filter(F.col(row_id).isNull()))

@@ -5,10 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from palimpsest.llm.common import table, written
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm import quality_model as q
+    from palimpsest.llm.labelled import remainder, training_rows
+
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    held_out = remainder("doc_id", 4) == 2
+    model = q.train(training_rows(docs, labels, "quality", ~held_out, q.SAMPLE_DOCS, q.SAMPLE_BYTES))
+    scored = q.score_quality(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.pii import find_pii
+
+    return find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.line_dedup import remove_wide_lines
 
@@ -25,6 +43,19 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(archives, payloads=False).select(*columns)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm import toxicity as x
+    from palimpsest.llm.labelled import remainder, training_rows
+
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    held_out = remainder("doc_id", 5) == 0
+    model = x.train(training_rows(docs, labels, "toxic", ~held_out, x.SAMPLE_DOCS, x.SAMPLE_CHARS))
+    scored = x.score_toxicity(docs, model)
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "offending"
+    )
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.decontaminate import contaminated
 
@@ -60,8 +91,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_quality_classifier,
+        op2_pii,
         op3_line_dedup,
         op4_warc,
+        op5_toxicity,
         op6_decontamination,
         op7_minhash_dedup,
         op8_quality_rules,

@@ -19,6 +19,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -71,8 +72,9 @@ class ChunkTable:
                 return [made.get(x) or table[x] for x in chunks]
         return [table[x] for x in chunks]
 
-    def encode(self, text: str) -> list[int]:
-        return [int(i) for _, ids, _ in self.entries(text) for i in ids.split(",")]
+    def encode(self, text: str) -> np.ndarray:
+        found = self.entries(text)
+        return np.array(",".join(ids for _, ids, _ in found).split(","), np.int32) if found else np.zeros(0, np.int32)
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, their SHA-256 and that of the decoded text."""
