@@ -5,7 +5,7 @@ at the marks and the pieces are exploded. Nothing is shuffled."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
@@ -37,10 +37,11 @@ def heading_text(line: Column) -> Column:
     )
 
 
-def line_table(docs: DataFrame, doc_id: str, text: str = "text") -> DataFrame:
-    """(doc_id, pos, line, level, heading, marker) of every line."""
+def line_table(docs: DataFrame, doc_id: str, text: str = "text", numbered: bool = True) -> DataFrame:
+    """(doc_id, pos, line, level, heading, marker) of every line; numbered=False never takes
+    numbered lines for headings."""
     source = docs.select(doc_id, T.unix_lines(F.col(text)).alias("_t"))
-    source = source.withColumn("_numbered", numbered_mode(F.col("_t")))
+    source = source.withColumn("_numbered", numbered_mode(F.col("_t")) if numbered else F.lit(False))
     rows = source.select(doc_id, "_numbered", F.posexplode(T.lines(F.col("_t"))).alias("pos", "line"))
     rows = rows.withColumn("level", heading_level(F.col("line"), F.col("_numbered")))
     return rows.select(
@@ -80,10 +81,10 @@ def md_sections(docs: DataFrame, doc_id: str, text: str = "text") -> DataFrame:
     )
 
 
-def md_blocks(docs: DataFrame, doc_id: str, text: str = "text") -> DataFrame:
+def md_blocks(docs: DataFrame, doc_id: str, text: str = "text", numbered: bool = True) -> DataFrame:
     """Lines as blocks: (doc_id, pos, kind, level, text, cells, bold). Kinds: heading, separator,
     list, table_row, blank, para."""
-    rows = line_table(docs, doc_id, text)
+    rows = line_table(docs, doc_id, text, numbered)
     line = F.col("line")
     stripped = T.strip(line)
     is_bullet = line.rlike(T.BULLET)
@@ -104,3 +105,30 @@ def md_blocks(docs: DataFrame, doc_id: str, text: str = "text") -> DataFrame:
     return rows.select(
         doc_id, "pos", kind.alias("kind"), F.coalesce("level", F.lit(0)).alias("level"), value.alias("text"), stripped.rlike(r"\*\*.+?\*\*").alias("bold")
     )
+
+
+def resplit(large: DataFrame, headings: DataFrame, pair_id: str, chars: int = 2000, factor: float = 2.5, prefix: int = 10) -> DataFrame:
+    """Large matched sections (pair_id, sec_idx, content, base_chars) cut at lines that equal an
+    unmatched base heading (pair_id, heading): in lower case, normalized, or, for lines of ten
+    characters or more, as its beginning. Gives (pair_id, sec_idx, part, heading, content).
+
+    Lines meet headings through three equi-joins; the prefix case joins on the line's first
+    characters."""
+    rows = large.filter((F.length("content") >= chars) & (F.length("content") >= F.col("base_chars") * factor))
+    lines = rows.select(pair_id, "sec_idx", F.posexplode(T.lines(F.col("content"))).alias("pos", "line"))
+    lines = lines.withColumns({"_low": F.lower(T.strip(F.col("line"))), "_plain": T.normalize_heading(F.col("line"))})
+    known = headings.select(pair_id, "heading").distinct().withColumns({"_hlow": F.lower("heading"), "_hplain": T.normalize_heading(F.col("heading"))})
+    hit = []
+    for rank, (a, b) in enumerate((("_low", "_hlow"), ("_plain", "_hplain"))):
+        right = known.filter(F.col(b) != "").select(pair_id, F.col(b).alias(a), F.col("heading").alias("_h"))
+        hit.append(lines.filter(F.col(a) != "").join(right, [pair_id, a]).select(pair_id, "sec_idx", "pos", F.lit(rank).alias("rank"), "_h"))
+    short = lambda c: F.substring(c, 1, prefix)
+    right = known.select(pair_id, short(F.col("_hlow")).alias("_cut"), "_hlow", F.col("heading").alias("_h"))
+    left = lines.filter(F.length("_low") >= prefix).withColumn("_cut", short(F.col("_low")))
+    hit.append(left.join(right, [pair_id, "_cut"]).filter(F.col("_hlow").startswith(F.col("_low"))).select(pair_id, "sec_idx", "pos", F.lit(2).alias("rank"), "_h"))
+    best = hit[0].unionByName(hit[1]).unionByName(hit[2]).groupBy(pair_id, "sec_idx", "pos").agg(F.min_by("_h", F.struct("rank", "_h")).alias("heading"))
+    marked = lines.join(best, [pair_id, "sec_idx", "pos"], "left")
+    w = Window.partitionBy(pair_id, "sec_idx").orderBy("pos")
+    marked = marked.withColumn("part", F.count("heading").over(w))
+    body = F.array_sort(F.collect_list(F.when(F.col("heading").isNull(), F.struct("pos", "line"))))
+    return marked.groupBy(pair_id, "sec_idx", "part").agg(F.max("heading").alias("heading"), T.strip(F.array_join(F.transform(body, lambda x: x["line"]), "\n")).alias("content"))

@@ -11,7 +11,9 @@ from palimpsest.functions import text as T
 from palimpsest.functions.json_text import json_answer, payload, unfenced
 from palimpsest.functions.similarity import length_bound, multiset_bound, ratio_column
 from palimpsest.operators import align, checks, dedup, edits, patch, styles, tables
-from palimpsest.operators.sections import line_table, md_blocks, md_sections
+from palimpsest.operators.sections import line_table, md_blocks, md_sections, resplit
+from palimpsest.plans.revise import choose_plan, revise
+from palimpsest.sources import docx
 from palimpsest.sources import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -643,6 +645,50 @@ def unchanged_sections(spark, sf):
     return patch.text_match(pairs).select("conv_id", "turn", "unchanged")
 
 
+@query(
+    f'''WITH {V.TURNS} SELECT conv_id, CAST(turn AS INTEGER) AS sec_idx, p AS part, CASE p WHEN 1 THEN 'Annex ' || turn || ' of the agreement' WHEN 2 THEN 'Closing Notes' END AS heading,
+CASE p WHEN 0 THEN 'start' WHEN 1 THEN {STRIP("text")} ELSE 'end' END AS content FROM turns, (VALUES (0), (1), (2)) AS v(p)'''
+)
+def section_resplit(spark, sf):
+    t = V.turns(spark, sf).withColumn("sec_idx", F.col("turn").cast("int"))
+    number = F.col("turn").cast("string")
+    content = F.concat(F.lit("start\nAnnex "), number, F.lit(" of the\n"), F.col("text"), F.lit("\n**2. CLOSING notes**\nend"))
+    large = t.select("conv_id", "sec_idx", content.alias("content"), F.lit(0).alias("base_chars"))
+    names = t.select("conv_id", F.concat(F.lit("Annex "), number, F.lit(" of the agreement")).alias("heading")).unionByName(t.select("conv_id", F.lit("Closing Notes").alias("heading")))
+    return resplit(large, names, "conv_id", chars=1)
+
+
+@query()
+def revised_blocks(spark, sf):
+    return revise(V.conv_md(spark, sf), V.conv_md_revised(spark, sf), "conv_id").blocks
+
+
+@query()
+def revision_warnings(spark, sf):
+    return revise(V.conv_md(spark, sf), V.conv_md_revised(spark, sf), "conv_id").warnings
+
+
+@query(
+    f'''WITH {V.TURNS}, {_CB} SELECT conv_id AS doc_id, pos, kind, CASE WHEN kind = 'heading' THEN 2 ELSE 0 END AS level, CASE WHEN kind = 'heading' THEN 'Heading2' END AS style_id, text FROM cb'''
+)
+def docx_round_trip(spark, sf):
+    b = _conv_blocks(spark, sf).withColumns({"level": F.when(F.col("kind") == "heading", 2).otherwise(0), "cells": F.lit(None).cast("array<string>"), "table_id": F.lit(None).cast("int")})
+    return docx.read_blocks(docx.render(b, "conv_id")).select("doc_id", "pos", "kind", "level", "style_id", "text")
+
+
+@query("SELECT conv_id AS doc_id, 0 AS insertions, 0 AS deletions, 0 AS comments FROM conversations GROUP BY conv_id")
+def docx_conflicts(spark, sf):
+    b = _conv_blocks(spark, sf).withColumns({"level": F.lit(1), "cells": F.lit(None).cast("array<string>"), "table_id": F.lit(None).cast("int")})
+    return docx.read_conflicts(docx.render(b, "conv_id"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'update' ELSE 'create' END AS mode, CASE WHEN p_size % 5 = 0 THEN 'excel' WHEN p_size % 2 = 0 THEN 'edit' ELSE 'create' END AS approach FROM part")
+def plan_choice(spark, sf):
+    size = F.col("p_size")
+    p = V.read(spark, sf, "part").select("p_partkey", (size % 2 == 0).alias("has_base"), F.when(size % 5 == 0, "a.xlsx").otherwise("a.docx").alias("output"))
+    return choose_plan(p).select("p_partkey", "mode", "approach")
+
+
 # --- duplicates and order ---------------------------------------------------------------------
 
 
