@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import written
+from palimpsest.llm.common import discard, written
 
 
 def _oriented(edges: DataFrame) -> DataFrame:
@@ -26,19 +26,20 @@ def _small_star(edges: DataFrame) -> DataFrame:
     )
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _settled(edges: DataFrame) -> bool:
+    """True if all edges lead to the least node of their component: each node has one edge and no
+    target has an edge of its own. Only counts reach the driver."""
+    n, sources = edges.agg(F.count("*"), F.count_distinct("u")).first()
+    return n == sources and edges.join(edges.select(F.col("v").alias("u")), "u", "left_semi").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Of edges (u, v), a row (node, component) for each node but the least of its component, which
-    names it. Each step writes its edges to the shared folder; only their count and a checksum
-    reach the driver. Null ends are left out."""
+    names it. Each step writes its edges to the shared folder. Null ends are left out."""
     now = written(_oriented(edges), "edges")
-    state = _state(now)
-    while state[0]:
-        now = written(_oriented(_small_star(_oriented(_large_star(now)))), "edges")
-        last, state = state, _state(now)
-        if last == state:
-            break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    while not _settled(now):
+        old, now = now, written(_oriented(_small_star(_oriented(_large_star(now)))), "edges")
+        discard(old)
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    out.table_path = now.table_path
+    return out

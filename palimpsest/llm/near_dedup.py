@@ -12,11 +12,21 @@ similarity, every weight is 1; with "count" it is the number of occurrences.
 Join. Documents with the same weighted set form one node, named by their least id. Nodes that
 agree on a band meet in a bucket. In a bucket, nodes are compared with a centre and not with each
 other; the links found are contracted, and buckets that still hold several components go on with
-twice as many centres, until no bucket holds two nodes of different components that haven't met.
+other centres, until no bucket holds two nodes of different components that haven't met.
 So the components are those of all candidate pairs, and a group of thousands of copies costs about
-one comparison each. Every comparison is exact, over the shingles of the two texts.
+one comparison each. Pairs whose sizes alone exclude the threshold are not compared; every other
+comparison is exact, over the shingles of the two texts.
 
-With 24 bands of 5 rows, a pair of similarity 0.8 meets with probability 0.9999.
+Buckets that are still open after BAND_ROUNDS hold documents that share a long passage and little
+else. Their nodes move to a second, exact set of buckets: the prefix filter. Each node's elements
+are ordered from rare to common, and of n elements only the first n - ceil(threshold * n) + 1 are
+kept as keys, with their places; two sets that reach the threshold share one of these, and a common
+passage is never among them. A shared key at places i and j leaves at most
+min(n - i, m - j) + 1 elements to share, so keys that come too late for the threshold make no pair:
+copies with many edits have their own rare elements first and meet nobody. The rounds go on over
+these buckets, with more centres each time.
+
+With 25 bands of 6 rows, a pair of similarity 0.8 meets with probability 0.9995.
 
 Defined results: words are cut at white space and lower-cased; a text of one to four words is one
 shingle; all texts without words, null ones included, form one class; rows that share an id count
@@ -27,18 +37,21 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import slices, small_batches, written
+from palimpsest.llm.common import discard, slices, small_batches, written
 from palimpsest.llm.graph import components
 
 SHINGLE = 5
-BANDS, ROWS = 24, 5
+BANDS, ROWS = 25, 6
+#: Rounds over the bands' buckets, one centre each, before the prefix filter takes over; its rounds
+#: begin with so many centres and multiply by it.
+BAND_ROUNDS, PREFIX_CENTRES = 2, 8
 THRESHOLD = 0.8
 
 U = np.uint64
@@ -182,9 +195,9 @@ def _cached_shingles(text: str) -> np.ndarray:
     return shingles(text)[0]
 
 
-def verified(pairs: DataFrame, docs: DataFrame, text: str, row_id: str, threshold: float, weighting: str) -> DataFrame:
-    """The pairs (u, v) whose exact similarity is `threshold` or more, with it."""
-    texts = docs.select(docs[row_id].cast("long").alias("id"), docs[text].cast("string").alias("text"))
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float, weighting: str) -> DataFrame:
+    """Of pairs (u, v) of ids in texts (id, text), those with an exact similarity of `threshold` or
+    more, with it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -211,11 +224,46 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str, row_id: str, threshol
     return with_u.select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long, similarity double")
 
 
-def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """members (bucket, node) with the component of the node."""
-    if labels is None:
-        return members.withColumn("component", F.col("node"))
-    return members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+def prefix_members(texts: DataFrame, threshold: float, weighting: str) -> DataFrame:
+    """The prefix filter's buckets: (bucket, node) for each node's rarest elements. With weights,
+    the second and later occurrences of a shingle count as elements of their own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 64):
+            ids, sets = batch.column(0).to_pylist(), []
+            for value in batch.column(1).to_pylist():
+                found, count = shingles(value)
+                if weighting == "count":
+                    times = count.astype(np.int64)
+                    nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                    found = mix(np.repeat(found, times) + nth.astype(U) * U(_GOLD))
+                sets.append(found)
+            sizes = [len(x) for x in sets]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.repeat(np.array(ids, np.int64), sizes)),
+                    pa.array(np.repeat(sizes, sizes).astype(np.int32)),
+                    pa.array(_signed(np.concatenate(sets)) if sets else np.zeros(0, np.int64)),
+                ],
+                names=["node", "size", "bucket"],
+            )
+
+    elements = written(texts.mapInArrow(run, "node long, size int, bucket long"), "elements")
+    shared = elements.groupBy("bucket").agg(F.count("*").alias("often"))
+    order = Window.partitionBy("node").orderBy("often", "bucket")
+    ranked = elements.join(shared, "bucket").withColumn("nth", F.row_number().over(order))
+    size = F.col("size")
+    kept = written(
+        ranked.filter((F.col("nth") <= size - F.ceil(size * threshold - 1e-9) + 1) & (F.col("often") > 1)).select("bucket", "node", "nth", "size"), "prefixes"
+    )
+    discard(elements)
+    # Not even the smallest partner of the bucket could share enough with a key at this place.
+    least = kept.groupBy("bucket").agg(F.min("size").alias("least"))
+    partner = F.greatest(F.col("least"), F.ceil(size * threshold - 1e-9))
+    able = size - F.col("nth") + 1 >= (size + partner) * (threshold / (1 + threshold)) - 1e-9
+    out = written(kept.join(least, "bucket").filter(able).select("bucket", "node", "nth"), "prefixes")
+    discard(kept)
+    return out
 
 
 def near_duplicates(
@@ -233,42 +281,53 @@ def near_duplicates(
     nodes = written(
         signed.filter("id is not null").groupBy(*key).agg(F.min("id").alias("node"), F.first("bands").alias("bands")), "nodes"
     )
-    members = nodes.filter("n > 0").select("node", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").select("bucket")
-    open_members = written(members.join(shared, "bucket"), "buckets")
+    sizes = nodes.select("node", F.col("n").alias("size"))
+    texts = docs.select(docs[row_id].cast("long").alias("id"), docs[text].cast("string").alias("text"))
+    members = nodes.filter("n > 0").select(F.explode("bands").alias("bucket"), "node", F.lit(None).cast("int").alias("nth"))
     labels: DataFrame | None = None
-    tested: list[DataFrame] = []
-    links: list[DataFrame] = []
-    centres = 1
+    now: DataFrame | None = None
+    centres, rounds = 1, 0
+    enough = (F.col("size") + F.col("centre_size")) * (threshold / (1 + threshold)) - 1e-9
+    places = F.least(F.col("size") - F.col("nth"), F.col("centre_size") - F.col("centre_nth")) + 1 >= enough
     while True:
-        now = _labelled(open_members, labels)
-        several = now.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("bucket")
-        now = written(now.join(several, "bucket"), "open")
+        if labels is None:
+            seen = members.withColumn("component", F.col("node"))
+        else:
+            seen = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        several = seen.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b")
+        last, now = now, written(seen.join(several.select("bucket"), "bucket").select("bucket", "node", "nth", "component"), "open")
+        discard(last)
         if now.isEmpty():
             break
-        chosen = now.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(centres)).alias("share")).agg(
-            F.min_by(F.struct("node", "component"), "node").alias("c")
+        if rounds in (0, BAND_ROUNDS):
+            open_texts = texts.join(now.select(F.col("node").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
+            last, texts = texts, written(open_texts, "texts")
+            discard(last)
+        if rounds == BAND_ROUNDS:
+            members, centres, rounds = prefix_members(texts, threshold, weighting), PREFIX_CENTRES, rounds + 1
+            continue
+        sized = now.join(sizes, "node")
+        chosen = sized.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(centres)).alias("share")).agg(
+            F.min_by(F.struct("node", "component", "size", "nth"), "node").alias("c")
         )
-        chosen = chosen.select("bucket", F.col("c.node").alias("centre"), F.col("c.component").alias("centre_component"))
+        chosen = chosen.select("bucket", *[F.col(f"c.{x}").alias(f"centre_{x}") for x in ("node", "component", "size", "nth")])
         pairs = (
-            now.join(chosen, "bucket")
+            sized.join(chosen, "bucket")
             .filter("component <> centre_component")
-            .select(F.greatest("node", "centre").alias("u"), F.least("node", "centre").alias("v"))
+            .filter(F.least("size", "centre_size") >= F.greatest("size", "centre_size") * threshold - 1e-9)
+            .filter(F.coalesce(places, F.lit(True)))
+            .select(F.greatest("node", "centre_node").alias("u"), F.least("node", "centre_node").alias("v"))
             .distinct()
         )
-        for old in tested:
-            pairs = pairs.join(old, ["u", "v"], "left_anti")
-        pairs = written(pairs, "pairs")
-        tested.append(pairs)
-        links.append(written(verified(pairs, docs, text, row_id, threshold, weighting), "links"))
-        known = [x.select("u", "v") for x in links[-1:]]
+        known = verified(pairs, texts, threshold, weighting).select("u", "v")
         if labels is not None:
-            known.append(labels.select(F.col("node").alias("u"), F.col("component").alias("v")))
-        labels = components(reduce(DataFrame.unionByName, known))
-        open_members = now.select("bucket", "node").join(
-            chosen.select("bucket", F.col("centre").alias("node")), ["bucket", "node"], "left_anti"
+            known = known.unionByName(labels.select(F.col("node").alias("u"), F.col("component").alias("v")))
+        last, labels = labels, components(known)
+        discard(last)
+        members = now.select("bucket", "node", "nth").join(
+            chosen.select("bucket", F.col("centre_node").alias("node")), ["bucket", "node"], "left_anti"
         )
-        centres *= 2
+        centres, rounds = centres * (PREFIX_CENTRES if rounds > BAND_ROUNDS else 1), rounds + 1
     found = nodes.select(*key, "node")
     if labels is not None:
         found = found.join(labels, "node", "left").select(*key, F.coalesce("component", "node").alias("class_id"))

@@ -92,3 +92,22 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (102, 100), (7, 7), (None, 3)]
     out = components(spark.createDataFrame(edges, "u long, v long")).collect()
     assert {r.node: r.component for r in out} == {**{i: 0 for i in range(1, 41)}, 101: 100, 102: 100}
+
+
+def test_prefix_filter_takes_over(spark):
+    """Many documents that share nine tenths of a passage's buckets but are no duplicates, with
+    pairs of duplicates hidden among them."""
+    rng = random.Random(9)
+    passage = [f"w{i}" for i in range(90)]
+    rows = []
+    for i in range(120):
+        tail = [f"t{i}_{j}" for j in range(60)]
+        rows.append((i, " ".join(passage + tail)))
+        if i % 10 == 0:
+            rows.append((1000 + i, edited(passage + tail, 1, rng)))
+    check(spark, rows)
+    for weighting in ("set", "count"):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        buckets = N.prefix_members(docs.selectExpr("doc_id AS id", "text"), 0.8, weighting)
+        met = {tuple(sorted((a, b))) for ns in buckets.groupBy("bucket").agg({"node": "collect_list"}).collect() for a in ns[1] for b in ns[1] if a != b}
+        assert {(i, 1000 + i) for i in range(0, 120, 10)} <= met

@@ -35,7 +35,7 @@ def test_against_brute_force(spark):
 
 
 def test_odd_rows(spark):
-    good = " ".join(f"the word{i} of and" for i in range(40))
+    good = " ".join(f"the word{i} of x{i}" for i in range(40))
     rows = [(1, good, "en", "a", 1), (1, good, "en", "a", 1), (2, None, None, None, None), (None, good + " x", "en", "a", 1), (3, "", "en", "b", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     for frame in (docs, docs.limit(0)):
