@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from palimpsest.llm.common import slices, small_batches
 from palimpsest.llm.labelled import Adam, sigmoid
 
-SAMPLE_DOCS, SAMPLE_CHARS = 12_000, 40_000_000
+SAMPLE_DOCS, SAMPLE_CHARS = 8000, 20_000_000
 MIN_DOCUMENTS, MIN_DEVIATION = 4, 5.0
 PREFIXES = (4, 5, 6)
 #: Words whose weights a task remembers; the table is emptied beyond that.
@@ -91,33 +91,33 @@ class Model:
         return float(-np.expm1(clean)), offending
 
 
-def train(rows: list[tuple[str, int]], steps: int = 300, rate: float = 0.1, decay: float = 2e-5) -> Model:
-    bags = [[Counter(f for w in set(words) for f in parts(w)) for _, _, words in sentences(text)] for text, _ in rows]
+def train(rows: list[tuple[str, int]], steps: int = 800, rate: float = 0.1, decay: float = 5e-6) -> Model:
     label = np.array([y for _, y in rows], float)
     if not len(label) or not label.any():
         return Model(-30.0, {})
+    # The texts are read twice, so that only counts and the chosen features are held.
     seen, toxic = Counter(), Counter()
-    for bag, y in zip(bags, label, strict=True):
-        words = set().union(*bag) if bag else set()
-        seen.update(words)
+    for text, y in rows:
+        found = {f for _, _, words in sentences(text) for w in set(words) for f in parts(w)}
+        seen.update(found)
         if y:
-            toxic.update(words)
+            toxic.update(found)
     share = label.mean()
     vocabulary = sorted(
-        w
-        for w, n in seen.items()
-        if n >= MIN_DOCUMENTS and toxic[w] - share * n > MIN_DEVIATION * np.sqrt(n * share * (1 - share) + 1e-9)
+        f
+        for f, n in toxic.items()
+        if seen[f] >= MIN_DOCUMENTS and n - share * seen[f] > MIN_DEVIATION * np.sqrt(seen[f] * share * (1 - share) + 1e-9)
     )
+    del seen, toxic
     index = {w: i for i, w in enumerate(vocabulary)}
     doc_of, where, what, times = [], [], [], []
     at = 0
-    for d, bag in enumerate(bags):
-        for words in bag:
-            for f, n in words.items():
-                if f in index:
-                    where.append(at)
-                    what.append(index[f])
-                    times.append(n)
+    for d, (text, _) in enumerate(rows):
+        for _, _, words in sentences(text):
+            held = Counter(index[f] for w in set(words) for f in parts(w) if f in index)
+            where += [at] * len(held)
+            what += held.keys()
+            times += held.values()
             doc_of.append(d)
             at += 1
     doc_of, where, what = np.array(doc_of, int), np.array(where, int), np.array(what, int)
