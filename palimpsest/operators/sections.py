@@ -102,8 +102,11 @@ def md_blocks(docs: DataFrame, doc_id: str, text: str = "text", numbered: bool =
         .when(is_bullet, T.clean_inline(F.regexp_extract(line, T.BULLET, 1)))
         .otherwise(T.clean_inline(line))
     )
+    # Reading the partition id keeps the optimizer from moving later filters below this projection,
+    # where each use of a column would repeat its whole expression.
+    pos = F.when(F.spark_partition_id() >= 0, F.col("pos")).alias("pos")
     return rows.select(
-        doc_id, "pos", kind.alias("kind"), F.coalesce("level", F.lit(0)).alias("level"), value.alias("text"), stripped.rlike(r"\*\*.+?\*\*").alias("bold")
+        doc_id, pos, kind.alias("kind"), F.coalesce("level", F.lit(0)).alias("level"), value.alias("text"), stripped.rlike(r"\*\*.+?\*\*").alias("bold")
     )
 
 

@@ -689,6 +689,43 @@ def plan_choice(spark, sf):
     return choose_plan(p).select("p_partkey", "mode", "approach")
 
 
+@query(
+    f"""WITH {_DIFF} SELECT pair_id, count(*) AS n, count(*) FILTER (action = 'new') AS inserts FROM diff GROUP BY pair_id"""
+)
+def insert_share(spark, sf):
+    d = _diff(spark, sf)
+    m = d.select("pair_id", align.mapping_action(F.col("action"), F.col("base_idx").isNotNull()).alias("action"), "similarity")
+    return align.secondary_divergence(m).select("pair_id", "n", "inserts")
+
+
+@query("SELECT doc_id FROM documents WHERE trim(text, chr(10) || ' ') <> '' AND (CASE WHEN doc_id % 2 = 0 THEN 2 * length(text) ELSE length(text) END > 1.5 * length(text))")
+def preamble_fallback(spark, sf):
+    d = V.read(spark, sf, "documents")
+    texts = d.select("doc_id", F.col("text").alias("base_text"), F.when(F.col("doc_id") % 2 == 0, F.concat("text", "text")).otherwise(F.col("text")).alias("text"))
+    return align.preamble_only(md_sections(d, "doc_id"), texts, "doc_id").select("doc_id")
+
+
+@query(f"""WITH {V.TURNS}, {_CB} SELECT conv_id, pos, CASE WHEN turn % 2 = 0 THEN pos END AS base_pos FROM cb WHERE kind = 'heading'""")
+def subheading_anchor(spark, sf):
+    b = _conv_blocks(spark, sf).filter("kind = 'heading'").select("conv_id", "pos", "text", "turn")
+    return align.subheading_anchors(b, b.filter("turn % 2 = 0"), ["conv_id"]).select("conv_id", "pos", "base_pos")
+
+
+@query(
+    rf"""WITH {PAGE_LINES}, i AS (SELECT page_id, pos, {INLINE(r"regexp_extract(line, '^[ \t]*[-*+]\s+(.+?)[ \t]*$', 1)")} AS t FROM p_lines WHERE regexp_matches(line, '^[ \t]*[-*+]\s+(.+?)[ \t]*$'))
+SELECT page_id, CAST(pos AS INTEGER) AS pos, t || ' and more' AS text FROM i WHERE length(t) >= 8 AND pos % 2 = 0"""
+)
+def bullet_styles(spark, sf):
+    b = md_blocks(V.pages_md(spark, sf), "page_id").filter("kind = 'list'")
+    plain = b.filter("pos % 2 = 0 and length(text) >= 8").select("page_id", "pos", F.concat("text", F.lit(" and more")).alias("text"))
+    return patch.bullet_style_targets(plain, b.select("page_id", "text"), "page_id")
+
+
+@query()
+def patch_totals(spark, sf):
+    return _patches(spark, sf, "bullet", "stale", "order", "table_free_text").groupBy("step", "action").agg(F.count("*").alias("n"))
+
+
 # --- duplicates and order ---------------------------------------------------------------------
 
 
@@ -884,6 +921,43 @@ def double_space_check(spark, sf):
     return checks.double_spaces(d, "doc_id", "A10")
 
 
+@query(r"SELECT page_id, CAST(len(regexp_extract_all(substr(html, strpos(lower(html), '</h1>')), '(?i)<(p|li|td|table)\b')) AS BIGINT) AS n FROM pages WHERE contains(lower(html), '</h1>') AND len(regexp_extract_all(substr(html, strpos(lower(html), '</h1>')), '(?i)<(p|li|td|table)\b')) > 0")
+def html_section_span(spark, sf):
+    e = checks.html_elements(V.read(spark, sf, "pages"), "page_id")
+    return checks.section_span(e, "page_id", "").groupBy("page_id").agg(F.count("*").alias("n"))
+
+
+@query(r"SELECT page_id, CAST(len(regexp_extract_all(html, '(?i)<(h[1-6]|p|li|td|table)\b')) + 1 AS INTEGER) AS pos FROM pages WHERE page_id % 2 = 0")
+def html_table_after(spark, sf):
+    tail = F.when(F.col("page_id") % 2 == 0, "<p>QQQ marker</p><table><tr><td>cell</td></tr></table>").otherwise("")
+    p = V.read(spark, sf, "pages").select("page_id", F.concat("html", tail).alias("html"))
+    return checks.table_after(checks.html_elements(p, "page_id"), "page_id", "qqq MARKER")
+
+
+_BOLDS = rf"regexp_extract_all(html, '(?is)<b>(.*?)<br>', 1)"
+_PLAIN = COLLAPSE(r"regexp_replace(x, '<[^>]+>', ' ', 'g')")
+
+
+@query(rf"SELECT page_id, array_to_string(list_transform({_BOLDS}, lambda x: {STRIP('x')} || ':/tail'), '|') AS items FROM pages WHERE NOT regexp_matches(html, '(?is)<b>[^<]*<[^b]')")
+def html_bold_items(spark, sf):
+    p = _strong(spark, sf).join(V.read(spark, sf, "pages").filter(~F.col("html").rlike("(?is)<b>[^<]*<[^b]")).select("page_id"), "page_id", "left_semi")
+    return p.select("page_id", F.array_join(F.transform(checks.bold_items(F.col("html")), lambda x: F.concat_ws("/", x["bold"], x["after"])), "|").alias("items"))
+
+
+@query(
+    rf"""WITH b AS (SELECT page_id, list_filter(list_transform({_BOLDS}, lambda x: length({_PLAIN})), lambda n: n + 6 >= 10) AS ns FROM pages)
+SELECT page_id, 'F5' AS issue_id, CASE WHEN len(ns) = 0 THEN 'NOT_APPLICABLE' WHEN len(list_filter(ns, lambda n: n + 1 >= (n + 6) * 0.9)) > 0 THEN 'FAIL' ELSE 'PASS' END AS status FROM b"""
+)
+def bold_scope(spark, sf):
+    return checks.bold_scope(_strong(spark, sf), "page_id", "F5", 0.9, False)
+
+
+@query(rf"SELECT page_id, contains(lower({COLLAPSE(r"regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', ' ', 'g')")}), 'er') AS in_h1 FROM pages")
+def heading_rank(spark, sf):
+    r = checks.heading_rank(V.read(spark, sf, "pages"), "page_id", "F8", "er")
+    return r.select("page_id", (F.col("status") == "INCONCLUSIVE").alias("in_h1"))
+
+
 @query()
 def check_report(spark, sf):
     p = _strong(spark, sf)
