@@ -17,7 +17,9 @@ document and not a page with boilerplate on it; it stays whole, for near-duplica
 Defined results: lines are compared without the white space at their ends; lines without a word
 are never counted and never removed; a null text has no lines and stays null; a null site is a
 site of its own; repeated rows get the same result each; other columns pass through unless their
-names are those of the results (n_lines, n_wide_lines, n_removed), which then replace them."""
+names are those of the results (n_lines, n_wide_lines, n_removed), which then replace them. Column
+names that begin with an underscore are reserved.
+"""
 
 from __future__ import annotations
 

@@ -6,7 +6,8 @@ and nothing is shuffled.
 
 Defined results: a null text counts as empty; a text without words has zero in all measures and
 is rejected; repeated rows are judged one by one; other columns pass through unless their names
-are those of the measures, which then replace them.
+are those of the measures, which then replace them. Column
+names that begin with an underscore are reserved.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ and strings without both a letter and a digit are left out; that never touches p
 Main path: DataFrame functions only.
 
 Defined results: a null text counts as empty; repeated rows are scanned one by one; other columns
-pass through unless their names are those of the results."""
+pass through unless their names are those of the results. Column
+names that begin with an underscore are reserved.
+"""
 
 from __future__ import annotations
 
