@@ -574,53 +574,84 @@ def table_rescue(spark, sf):
     return edits.rescued_tables(old, new, ["table_id"])
 
 
-def _revised_bullets(spark, sf):
-    """Pages whose bullets are revised by their number % 6: 0 dropped, 1 extended, 2 replaced."""
-    lines = F.split("text", "\n")
-    new = F.transform(
-        F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))),
-        lambda s: F.when(~s["x"].startswith("* ") | (s["i"] % 6 > 2), s["x"]).when(s["i"] % 6 == 0, "").when(s["i"] % 6 == 1, F.concat(s["x"], F.lit(" and then some more words"))).otherwise("* 0000 ~ 1111 ~ 2222"),
+def _patches(spark, sf, *steps):
+    """Five lines for each document; those of even ids are revised: a word changed, bold added, a
+    line added, bullets swapped, one of them longer, one replaced."""
+    d = V.read(spark, sf, "documents").withColumn("id", F.col("doc_id").cast("string"))
+    first, remark = F.format_string("The first sentence of document %s is plain", "id"), F.format_string("A second remark with the word %s follows it", "lang")
+    one, two = F.format_string("* the first bullet of document %s", "id"), F.format_string("* another bullet about %s here", "source")
+    base = F.concat_ws("\n", first, remark, one, two, F.lit("* qqqq zzzz xxxx"))
+    revised = F.concat_ws(
+        "\n",
+        F.replace(first, F.lit(" is "), F.lit(" was ")),
+        F.replace(remark, F.lit("the word"), F.lit("the **word**")),
+        F.format_string("An added closing line %s", "id"),
+        two,
+        F.concat(one, F.lit(" extended")),
+        F.lit("* 0000 1111 2222"),
     )
-    return V.pages_md(spark, sf).select("page_id", F.array_join(new, "\n").alias("text"))
+    old = d.select("doc_id", base.alias("text"))
+    new = d.select("doc_id", F.when(F.col("doc_id") % 2 == 0, revised).otherwise(base).alias("text"))
+    out = patch.patch_sections(patch.section_pairs(old, new, "doc_id"), steps)
+    return out.select("pair_id", "action", "pos", "anchor", "side", "text")
 
 
-def _patches(spark, sf, *steps):
-    pairs = patch.section_pairs(V.pages_md(spark, sf), _revised_bullets(spark, sf), "page_id")
-    return patch.patch_sections(pairs, steps).withColumn("similarity", F.round("similarity", 6))
+def _patch_sql(*rows: str, odd: str = "") -> str:
+    """Rows (action, pos, anchor, side, text) of even documents, and those of odd ones."""
+    parts = [f"SELECT doc_id AS pair_id, {r} FROM documents WHERE doc_id % 2 = 0" for r in rows]
+    return " UNION ALL ".join(parts + ([odd] if odd else []))
 
 
-@query()
+def _row(action: str, pos: str, anchor: str, side: str, text: str) -> str:
+    return f"'{action}' AS action, CAST({pos} AS INTEGER) AS pos, CAST({anchor} AS INTEGER) AS anchor, CAST({side} AS VARCHAR) AS side, {text} AS text"
+
+
+_ONE, _TWO = "'the first bullet of document ' || doc_id", "'another bullet about ' || source || ' here'"
+_KEPT = " UNION ALL ".join(
+    f"SELECT doc_id, 'keep', {i}, NULL, NULL, {t} FROM documents WHERE doc_id % 2 = 1" for i, t in ((2, _ONE), (3, _TWO), (4, "'qqqq zzzz xxxx'"))
+)
+
+
+@query(
+    _patch_sql(
+        _row("keep", "3", "NULL", "NULL", _TWO),
+        _row("update", "2", "NULL", "NULL", f"{_ONE} || ' extended'"),
+        _row("insert", "NULL", "2", "'after'", "'0000 1111 2222'"),
+        odd=_KEPT,
+    )
+)
 def bullet_bands(spark, sf):
     return _patches(spark, sf, "bullet")
 
 
-@query()
+@query(_patch_sql(_row("remove", "4", "NULL", "NULL", "'qqqq zzzz xxxx'")))
 def stale_bullets(spark, sf):
     return _patches(spark, sf, "stale")
 
 
-@query()
+@query(_patch_sql(_row("move", "2", "3", "'to'", _ONE), _row("move", "3", "2", "'to'", _TWO)))
 def bullet_order(spark, sf):
     return _patches(spark, sf, "order")
 
 
-@query()
+@query(
+    _patch_sql(
+        _row("update", "0", "NULL", "NULL", "'The first sentence of document ' || doc_id || ' was plain'"),
+        _row("update", "2", "NULL", "NULL", f"{_ONE} || ' extended'"),
+    )
+)
 def text_corrections(spark, sf):
     return _patches(spark, sf, "table_free_text")
 
 
-@query()
+@query(_patch_sql(_row("insert", "NULL", "1", "'after'", "'An added closing line ' || doc_id")))
 def orphan_lines(spark, sf):
-    pages = V.pages_md(spark, sf)
-    more = pages.select("page_id", F.concat(F.col("text"), F.lit("\n\nAn added closing line "), F.col("page_id").cast("string")).alias("text"))
-    return patch.patch_sections(patch.section_pairs(pages, more, "page_id"), ("orphan",))
+    return _patches(spark, sf, "orphan")
 
 
-@query()
+@query(_patch_sql(_row("update", "1", "NULL", "NULL", "'25:29'")))
 def bold_emphasis(spark, sf):
-    pages = V.pages_md(spark, sf)
-    plain = pages.select("page_id", F.regexp_replace("text", r"\*\*", "").alias("text"))
-    return patch.patch_sections(patch.section_pairs(plain, pages, "page_id"), ("bold",)).withColumn("similarity", F.round("similarity", 6))
+    return _patches(spark, sf, "bold")
 
 
 @query(
@@ -721,9 +752,12 @@ def bullet_styles(spark, sf):
     return patch.bullet_style_targets(plain, b.select("page_id", "text"), "page_id")
 
 
-@query()
+_EVEN, _ALL = "(SELECT count(*) FROM documents WHERE doc_id % 2 = 0)", "(SELECT count(*) FROM documents)"
+
+
+@query(f"SELECT * FROM (VALUES ('insert', 2 * {_EVEN}), ('keep', 3 * {_ALL} - 2 * {_EVEN}), ('move', 2 * {_EVEN}), ('remove', {_EVEN}), ('update', 4 * {_EVEN})) AS t(action, n)")
 def patch_totals(spark, sf):
-    return _patches(spark, sf, "bullet", "stale", "order", "table_free_text").groupBy("step", "action").agg(F.count("*").alias("n"))
+    return _patches(spark, sf, *patch.STEPS).groupBy("action").agg(F.count("*").alias("n"))
 
 
 # --- duplicates and order ---------------------------------------------------------------------

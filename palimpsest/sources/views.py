@@ -127,11 +127,3 @@ def revised_rows(base: DataFrame) -> DataFrame:
     kept = base.filter(k != 0).select("table_id", "doc_id", F.lit(0).alias("extra"), changed.alias("cells"))
     new = F.array(F.concat(F.col("doc_id").cast("string"), F.lit("x")), F.lit("1234567890"), F.lit("zzz qqq"))
     return kept.unionByName(base.filter(k == 2).select("table_id", "doc_id", F.lit(1).alias("extra"), new.alias("cells")))
-
-
-def bullet_pages(pages: DataFrame) -> DataFrame:
-    """Pages with a revision of their bullets, for list reconciliation: by the bullet's number % 6,
-    0 dropped, 1 cut to its first half, 2 swapped with the next; others stay."""
-    from palimpsest.functions.text import bullets
-
-    return pages.select("page_id", bullets(F.col("text")).alias("bullets")).filter(F.size("bullets") > 0)
