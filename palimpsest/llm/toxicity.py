@@ -34,6 +34,8 @@ from palimpsest.llm.labelled import Adam, sigmoid
 SAMPLE_DOCS, SAMPLE_CHARS = 8000, 20_000_000
 MIN_DOCUMENTS, MIN_DEVIATION = 4, 5.0
 PREFIXES = (4, 5, 6)
+#: Share of the features left out of a training step.
+DROPPED = 0.3
 #: Words whose weights a task remembers; the table is emptied beyond that.
 TABLE_ROWS = 200_000
 OFFENDS = 0.5
@@ -125,7 +127,12 @@ def train(rows: list[tuple[str, int]], steps: int = 800, rate: float = 0.1, deca
     params = {"w": np.zeros(len(vocabulary)), "b": np.array([-6.0])}
     adam = Adam(params, rate)
     n = len(rows)
+    # Words of a kind often stand together and would share one weight; each step leaves out some of
+    # the features, so that every one learns to do alone.
+    rng = np.random.default_rng(5)
+    whole = times
     for _ in range(steps):
+        times = whole * (rng.random(len(vocabulary)) >= DROPPED)[what] if len(vocabulary) else whole
         z = params["b"][0] + np.bincount(where, params["w"][what] * times, at)
         p = sigmoid(z)
         clean = np.bincount(doc_of, np.log1p(-np.minimum(p, 1 - 1e-12)), n)
