@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import text as T
 from palimpsest.functions.json_text import json_answer, payload, unfenced
 from palimpsest.functions.similarity import length_bound, multiset_bound, ratio_column
-from palimpsest.operators import align, checks, dedup, edits, patch, styles, tables
+from palimpsest.operators import align, blocks, checks, dedup, edits, patch, styles, tables
 from palimpsest.operators.sections import line_table, md_blocks, md_sections, resplit
 from palimpsest.plans.revise import choose_plan, revise
 from palimpsest.sources import docx
@@ -394,6 +394,47 @@ def structural_summary(spark, sf):
     )
 
 
+@query(
+    f"""WITH {V.TURNS}, {_CB}, k AS (SELECT *, CASE WHEN kind = 'para' AND turn % 5 = 4 THEN 'separator' WHEN kind = 'heading' AND turn = 0 THEN 'para' ELSE kind END AS k2 FROM cb),
+p AS (SELECT *, sum(CAST(k2 <> 'para' AS INTEGER)) OVER (PARTITION BY conv_id ORDER BY pos) AS part FROM k)
+SELECT conv_id, CAST(part AS BIGINT) AS sec_idx, coalesce(max(CASE k2 WHEN 'heading' THEN text WHEN 'separator' THEN '(' || lower({STRIP('text')}) || ')' END), '(preamble)') AS heading,
+coalesce(max(CASE k2 WHEN 'heading' THEN 2 WHEN 'separator' THEN 0 END), 0) AS level, count(*) AS n FROM p GROUP BY conv_id, part"""
+)
+def block_sections(spark, sf):
+    kind = F.when((F.col("kind") == "para") & (F.col("turn") % 5 == 4), "separator").when((F.col("kind") == "heading") & (F.col("turn") == 0), "para").otherwise(F.col("kind"))
+    b = _conv_blocks(spark, sf).withColumns({"level": F.lit(2), "kind": kind})
+    out = blocks.chunk_blocks(b, "conv_id").groupBy("conv_id", "sec_idx", "sec_heading", "sec_level").agg(F.count("*").alias("n"))
+    return out.withColumnsRenamed({"sec_heading": "heading", "sec_level": "level"})
+
+
+@query(f"""WITH {V.TURNS}, {_CB} SELECT conv_id, turn, {STRIP("string_agg(replace(text, chr(10), ' '), ' ' ORDER BY pos)")} AS text FROM cb GROUP BY conv_id, turn""")
+def section_text(spark, sf):
+    b = _conv_blocks(spark, sf).withColumn("runs", F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("text"), F.lit(False).alias("bold"))))
+    return blocks.section_text(b, ["conv_id", "turn"])
+
+
+@query(f"""WITH {V.TURNS}, {_CB} SELECT conv_id, pos FROM cb WHERE kind = 'heading' AND turn % 2 = 0 AND turn % 3 <> 0""")
+def drawing_rescue(spark, sf):
+    b = _conv_blocks(spark, sf).filter("kind = 'heading'")
+    old, new = b.withColumn("has_drawing", F.col("turn") % 2 == 0), b.withColumn("has_drawing", F.col("turn") % 3 == 0)
+    return blocks.rescued_drawings(old, new, ["conv_id", "turn"]).select("conv_id", "pos")
+
+
+@query(f"""WITH {V.TURNS}, {_CB} SELECT conv_id, pos FROM cb WHERE NOT (kind = 'heading' AND turn % 3 = 0)""")
+def empty_headings(spark, sf):
+    b = _conv_blocks(spark, sf).withColumn("text", F.when((F.col("kind") == "heading") & (F.col("turn") % 3 == 0), " \t").otherwise(F.col("text")))
+    return blocks.without_empty_headings(b).select("conv_id", "pos")
+
+
+@query("SELECT doc_id, doc_id || '/false|' || lang || '/true, ' || source || '/false|plain/false' AS runs FROM documents")
+def cell_runs(spark, sf):
+    d = V.read(spark, sf, "documents")
+    old = F.array(F.lit("x"), F.lit("y"), F.lit("plain"))
+    new = F.array(F.concat(F.lit("**"), F.col("doc_id").cast("string"), F.lit("**")), F.concat(F.lit("**"), F.col("lang"), F.lit("** "), F.col("source")))
+    runs = F.transform(blocks.set_cells(old, new), lambda c: F.array_join(F.transform(c, lambda r: F.concat(r["text"], F.lit("/"), r["bold"].cast("string"))), ","))
+    return d.select("doc_id", F.array_join(runs, "|").alias("runs"))
+
+
 # --- alignment --------------------------------------------------------------------------------
 
 _DIFF = rf"""{V.TURNS}, rows AS (
