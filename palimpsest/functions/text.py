@@ -21,6 +21,11 @@ BULLET_MARK = r"^[ \t]*[-*]\s+"
 NUMBER_MARK = r"^[ \t]*\d+\.\s+"
 BODY_NUMBER = r"^\d+[.)]\s"
 TABLE_RULE = r"^\s*\|[\s\-:|]+\|"
+#: The Unicode white-space characters.
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 @F.pandas_udf(StringType())
@@ -30,8 +35,9 @@ def nfkd(text: pd.Series) -> pd.Series:
 
 
 def strip(text: Column) -> Column:
-    """Without Unicode white space at either end."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Without Unicode white space at either end. Trimming looks at the ends only, where a pattern
+    would search the whole text."""
+    return F.trim(text, F.lit(SPACES))
 
 
 def collapse(text: Column) -> Column:
@@ -71,7 +77,17 @@ def normalize_heading(text: Column) -> Column:
 
 
 def clean_inline(text: Column) -> Column:
-    return strip(F.regexp_replace(text, r"\*{1,2}|_{1,2}|`{1,3}|~~", ""))
+    marked = text.contains("*") | text.contains("_") | text.contains("`") | text.contains("~~")
+    return strip(F.when(marked, F.regexp_replace(text, r"\*{1,2}|_{1,2}|`{1,3}|~~", "")).otherwise(text))
+
+
+def is_bullet(line: Column) -> Column:
+    """A bulleted line; most lines fail on their first character, without a pattern."""
+    return F.substring(line, 1, 1).isin(" ", "\t", "-", "*", "+") & line.rlike(BULLET)
+
+
+def is_atx(line: Column) -> Column:
+    return line.startswith("#") & line.rlike(ATX)
 
 
 def clean_cell(text: Column, keep_bold: bool = False) -> Column:
@@ -99,7 +115,7 @@ def has_number(text: Column) -> Column:
 
 def bullets(text: Column) -> Column:
     """The texts of the bulleted lines, in order."""
-    return F.transform(F.filter(lines(text), lambda x: x.rlike(BULLET)), lambda x: F.regexp_extract(x, BULLET, 1))
+    return F.transform(F.filter(lines(text), is_bullet), lambda x: F.regexp_extract(x, BULLET, 1))
 
 
 def bold_segments(text: Column) -> Column:
@@ -163,7 +179,7 @@ def separator_name(line: Column) -> Column:
     name = strip(inner)
     letters = F.regexp_replace(name, r"[^\p{L}]", "")
     good = F.length(name).between(8, 80) & (F.length(letters) >= 4) & (F.upper(letters) == letters)
-    return F.when(good, F.concat(F.lit("("), F.lower(name), F.lit(")")))
+    return F.when(line.contains("**") & good, F.concat(F.lit("("), F.lower(name), F.lit(")")))
 
 
 def preview(text: Column, chars: int, dots: bool = False) -> Column:

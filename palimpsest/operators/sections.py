@@ -15,23 +15,24 @@ MARK = "\u0001"
 
 def numbered_mode(text: Column) -> Column:
     """Numbered lines count as headings in documents with fewer than three ATX headings."""
-    return F.size(F.filter(T.lines(text), lambda x: x.rlike(T.ATX))) < 3
+    return F.size(F.filter(T.lines(text), T.is_atx)) < 3
 
 
 def heading_level(line: Column, numbered: Column) -> Column:
     """Level of a heading line, else null."""
+    able = numbered & F.substring(line, 1, 1).rlike(r"^[\d*\s]")
     first = line.rlike(T.NUMBERED_1)
     bold = T.strip(F.regexp_extract(line, T.NUMBERED_1, 1)).startswith("**")
     return (
-        F.when(line.rlike(T.ATX), F.length(F.regexp_extract(line, T.ATX, 1)))
-        .when(numbered & first & ~bold, F.lit(1))
-        .when(numbered & ~first & line.rlike(T.NUMBERED_2), F.lit(2))
+        F.when(T.is_atx(line), F.length(F.regexp_extract(line, T.ATX, 1)))
+        .when(able & first & ~bold, F.lit(1))
+        .when(able & ~first & line.rlike(T.NUMBERED_2), F.lit(2))
     )
 
 
 def heading_text(line: Column) -> Column:
     return T.strip(
-        F.when(line.rlike(T.ATX), F.regexp_extract(line, T.ATX, 2))
+        F.when(T.is_atx(line), F.regexp_extract(line, T.ATX, 2))
         .when(line.rlike(T.NUMBERED_1), F.regexp_extract(line, T.NUMBERED_1, 1))
         .otherwise(F.regexp_extract(line, T.NUMBERED_2, 1))
     )
@@ -87,7 +88,7 @@ def md_blocks(docs: DataFrame, doc_id: str, text: str = "text", numbered: bool =
     rows = line_table(docs, doc_id, text, numbered)
     line = F.col("line")
     stripped = T.strip(line)
-    is_bullet = line.rlike(T.BULLET)
+    is_bullet = T.is_bullet(line)
     kind = (
         F.when(F.col("level").isNotNull(), "heading")
         .when(F.col("marker").isNotNull(), "separator")
@@ -106,7 +107,7 @@ def md_blocks(docs: DataFrame, doc_id: str, text: str = "text", numbered: bool =
     # where each use of a column would repeat its whole expression.
     pos = F.when(F.spark_partition_id() >= 0, F.col("pos")).alias("pos")
     return rows.select(
-        doc_id, pos, kind.alias("kind"), F.coalesce("level", F.lit(0)).alias("level"), value.alias("text"), stripped.rlike(r"\*\*.+?\*\*").alias("bold")
+        doc_id, pos, kind.alias("kind"), F.coalesce("level", F.lit(0)).alias("level"), value.alias("text"), (line.contains("**") & stripped.rlike(r"\*\*.+?\*\*")).alias("bold")
     )
 
 
