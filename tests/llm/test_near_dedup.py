@@ -111,3 +111,22 @@ def test_prefix_filter_takes_over(spark):
         buckets = N.prefix_members(docs.selectExpr("doc_id AS id", "text"), 0.8, weighting)
         met = {tuple(sorted((a, b))) for ns in buckets.groupBy("bucket").agg({"node": "collect_list"}).collect() for a in ns[1] for b in ns[1] if a != b}
         assert {(i, 1000 + i) for i in range(0, 120, 10)} <= met
+
+
+def test_weighted_classes(spark):
+    """With weights, repetitions count: half of a repeated text is no near copy of the whole."""
+    from collections import Counter
+
+    line = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{line} " * 10), (2, f"{line} " * 5), (3, f"{line} " * 9), (4, f"{line} " * 10 + "end"), (5, " ".join(f"v{i}" for i in range(50)))]
+
+    def similarity(a, b):
+        bags = [Counter(tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)) for t in (a, b)]
+        return sum((bags[0] & bags[1]).values()) / sum((bags[0] | bags[1]).values())
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in N.near_duplicates(docs, weighting="count").collect()}
+    assert similarity(rows[0][1], rows[1][1]) < 0.8 <= similarity(rows[0][1], rows[2][1])
+    assert got == {1: 1, 2: 2, 3: 1, 4: 1, 5: 5}
+    plain = {r.doc_id: r.class_id for r in N.near_duplicates(docs).collect()}
+    assert plain == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5}
