@@ -51,7 +51,7 @@ SHINGLE = 5
 BANDS, ROWS = 25, 6
 #: Rounds over the bands' buckets, one centre each, before the prefix filter takes over; its rounds
 #: begin with so many centres and multiply by it.
-BAND_ROUNDS, PREFIX_CENTRES = 2, 8
+BAND_ROUNDS, PREFIX_CENTRES = 2, 64
 THRESHOLD = 0.8
 
 U = np.uint64
@@ -286,6 +286,7 @@ def near_duplicates(
     members = nodes.filter("n > 0").select(F.explode("bands").alias("bucket"), "node", F.lit(None).cast("int").alias("nth"))
     labels: DataFrame | None = None
     now: DataFrame | None = None
+    prefixes: DataFrame | None = None
     centres, rounds = 1, 0
     enough = (F.col("size") + F.col("centre_size")) * (threshold / (1 + threshold)) - 1e-9
     places = F.least(F.col("size") - F.col("nth"), F.col("centre_size") - F.col("centre_nth")) + 1 >= enough
@@ -298,13 +299,14 @@ def near_duplicates(
         last, now = now, written(seen.join(several.select("bucket"), "bucket").select("bucket", "node", "nth", "component"), "open")
         discard(last)
         if now.isEmpty():
-            break
+            break  # nothing below reads the open members, their texts or the prefixes again
         if rounds in (0, BAND_ROUNDS):
             open_texts = texts.join(now.select(F.col("node").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
             last, texts = texts, written(open_texts, "texts")
             discard(last)
         if rounds == BAND_ROUNDS:
-            members, centres, rounds = prefix_members(texts, threshold, weighting), PREFIX_CENTRES, rounds + 1
+            members = prefixes = prefix_members(texts, threshold, weighting)
+            centres, rounds = PREFIX_CENTRES, rounds + 1
             continue
         sized = now.join(sizes, "node")
         chosen = sized.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(centres)).alias("share")).agg(
@@ -328,6 +330,8 @@ def near_duplicates(
             chosen.select("bucket", F.col("centre_node").alias("node")), ["bucket", "node"], "left_anti"
         )
         centres, rounds = centres * (PREFIX_CENTRES if rounds > BAND_ROUNDS else 1), rounds + 1
+    for done in (now, texts, prefixes):
+        discard(done)
     found = nodes.select(*key, "node")
     if labels is not None:
         found = found.join(labels, "node", "left").select(*key, F.coalesce("component", "node").alias("class_id"))
