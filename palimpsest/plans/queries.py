@@ -34,7 +34,7 @@ def query(sql: str | None = None):
 LINES = "d_lines AS (SELECT doc_id, i - 1 AS pos, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)))"
 PAGE_LINES = (
     V.PAGES_MD
-    + ", p_lines AS (SELECT page_id, i - 1 AS pos, ls[i] AS line FROM (SELECT page_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT page_id, string_split(text, chr(10)) AS ls FROM pages_md)))"
+    + ", p_lines AS (SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, ls[i] AS line FROM (SELECT page_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT page_id, string_split(text, chr(10)) AS ls FROM pages_md)))"
 )
 STRIP = lambda x: rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
 COLLAPSE = lambda x: STRIP(rf"regexp_replace({x}, '\s+', ' ', 'g')")
@@ -596,6 +596,20 @@ def row_patch(spark, sf):
     return _row_patch(spark, sf).select("table_id", "action", "base_row", "new_row")
 
 
+@query(
+    f"""WITH {V.ROW_PAIRS}, b AS (SELECT table_id, doc_id, CAST(row_number() OVER (PARTITION BY table_id ORDER BY doc_id) AS INTEGER) AS r FROM rows_base)
+SELECT table_id, 'insert' AS action, CAST(NULL AS INTEGER) AS base_row, r AS new_row FROM b WHERE doc_id % 7 = 0
+UNION ALL SELECT table_id, 'remove', r, NULL FROM b WHERE doc_id % 7 = 0"""
+)
+def row_key_stale(spark, sf):
+    """Rows rewritten beyond recognition under the same key: the new one comes, the old one goes."""
+    base = V.base_rows(spark, sf)
+    other = F.array(F.col("doc_id").cast("string"), F.lit("0123456789" * 8), F.lit("QQQQ"))
+    new = base.withColumn("cells", F.when(F.col("doc_id") % 7 == 0, other).otherwise(F.col("cells")))
+    p = tables.row_patch(_with_header(base, ["doc_id"]), _with_header(new, ["doc_id"]))
+    return p.filter("action in ('insert', 'remove')").select("table_id", "action", "base_row", "new_row")
+
+
 @query("SELECT table_id, doc_id, 2 AS col, lang || ' ' || source AS old, lang || ' ' || source || '1' AS new FROM (SELECT *, doc_id // 10 AS table_id FROM documents) WHERE doc_id % 7 = 1")
 def changed_cells(spark, sf):
     base = V.base_rows(spark, sf)
@@ -718,7 +732,7 @@ def unchanged_sections(spark, sf):
 
 
 @query(
-    f'''WITH {V.TURNS} SELECT conv_id, CAST(turn AS INTEGER) AS sec_idx, p AS part, CASE p WHEN 1 THEN 'Annex ' || turn || ' of the agreement' WHEN 2 THEN 'Closing Notes' END AS heading,
+    f'''WITH {V.TURNS} SELECT conv_id, CAST(turn AS INTEGER) AS sec_idx, CAST(p AS BIGINT) AS part, CASE p WHEN 1 THEN 'Annex ' || turn || ' of the agreement' WHEN 2 THEN 'Closing Notes' END AS heading,
 CASE p WHEN 0 THEN 'start' WHEN 1 THEN {STRIP("text")} ELSE 'end' END AS content FROM turns, (VALUES (0), (1), (2)) AS v(p)'''
 )
 def section_resplit(spark, sf):
