@@ -12,7 +12,9 @@
 All steps are DataFrame functions. Key columns are hashed from the row's id and text.
 
 A document of which wide lines make up more than `max_share` of the characters is a copy of a
-document and not a page with boilerplate on it; it stays whole, for near-duplicate removal.
+document and not a page with boilerplate on it; it stays whole, for near-duplicate removal. With
+`max_share` None there is no such share: wide lines go wherever a line of the document's own remains,
+and only documents that hold nothing else stay whole.
 
 Defined results: lines are compared without the white space at their ends; lines without a word
 are never counted and never removed; a null text has no lines and stays null; a null site is a
@@ -74,7 +76,7 @@ def wide_lines(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -
 def remove_wide_lines(
     docs: DataFrame,
     min_sites: int = MIN_SITES,
-    max_share: float = MAX_SHARE,
+    max_share: float | None = MAX_SHARE,
     text: str = "text",
     site: str = "source",
     row_id: str = "doc_id",
@@ -97,15 +99,15 @@ def remove_wide_lines(
         "_cut",
         F.aggregate(F.transform("_wide", lambda i: F.length(F.get("_split", i))), F.lit(0), lambda a, n: a + n),
     )
-    cut = (F.size("_wide") > 0) & (F.col("_cut") <= F.length(text) * F.lit(max_share))
+    n_lines = F.size(F.filter("_split", lambda x: _trimmed(x) != ""))
+    page = F.size("_wide") < n_lines if max_share is None else F.col("_cut") <= F.length(text) * F.lit(max_share)
+    cut = (F.size("_wide") > 0) & page
     return df.withColumns(
         {
             text: F.when(
                 cut, F.array_join(F.filter("_split", lambda x, i: ~F.array_contains("_wide", i)), "\n")
             ).otherwise(F.col(text)),
-            "n_lines": F.when(
-                F.col(text).isNotNull(), F.size(F.filter("_split", lambda x: _trimmed(x) != "")).cast("long")
-            ).otherwise(F.lit(0).cast("long")),
+            "n_lines": F.when(F.col(text).isNotNull(), n_lines.cast("long")).otherwise(F.lit(0).cast("long")),
             "n_wide_lines": F.size("_wide").cast("long"),
             "n_removed": F.when(cut, F.size("_wide")).otherwise(0).cast("long"),
         }

@@ -35,6 +35,15 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_own_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op3 without the share of its SQL: wide lines go wherever lines of the document's own remain."""
+    from palimpsest.llm.line_dedup import remove_wide_lines
+
+    return remove_wide_lines(table(spark, sf_dir, "documents"), max_share=None).select(
+        "doc_id", "n_lines", "n_wide_lines", "n_removed", "text"
+    )
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.warc import planned, read_archives, write_archives
 
@@ -101,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_rules,
         op9_sentencepiece,
         op10_secret_scan,
+        op3_own_lines,
     )
 }
 
