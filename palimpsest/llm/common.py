@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -27,27 +29,78 @@ def shared_dir(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        found = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
+        folder = tempfile.mkdtemp(prefix="palimpsest-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        found = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Paths of the tables that written() has made and nobody has deleted yet.
+_MADE: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it again."""
+    """Cut the lineage: write df as Parquet in the shared folder and read it again.
+
+    Steps delete with discard() what nothing reads any more. What a lazy result still reads stays
+    until whoever uses that result calls sweep(), or the folder is emptied."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _MADE.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.table_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def discard(df: DataFrame | None) -> None:
     """Delete a table of written() that no later step reads."""
     path = getattr(df, "table_path", None)
-    if path:
-        hadoop = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    if path in _MADE:
+        _MADE.remove(path)
+        _delete(df.sparkSession, path)
+
+
+def made_so_far() -> list[str]:
+    return list(_MADE)
+
+
+def sweep(spark: SparkSession, keep: list[str]) -> None:
+    """Delete the tables of this process that are not among `keep`: no result may read them."""
+    for path in [x for x in _MADE if x not in keep]:
+        _MADE.remove(path)
+        _delete(spark, path)
+
+
+#: Keys of the most rows that meet() broadcasts.
+HOT_KEYS = 4096
+
+
+def meet(rows: DataFrame, keyed: DataFrame, on: list[str], often: str) -> DataFrame:
+    """Inner join of rows to a written table `keyed`, whose keys `on` are distinct and whose column
+    `often` says how many rows have the key.
+
+    The HOT_KEYS keys with the most rows are broadcast, a bounded number whatever the input, so the
+    rows of a hot key stay where they are. Any other key has at most one in HOT_KEYS of the rows and
+    goes by shuffle."""
+    hot = written(keyed.orderBy(F.desc(often), *on).limit(HOT_KEYS), "hot")
+    keys = F.broadcast(hot.select(*on))
+    by_shuffle = rows.join(keys, on, "left_anti").join(keyed.join(keys, on, "left_anti"), on)
+    return rows.join(F.broadcast(hot), on).unionByName(by_shuffle)
+
+
+def free_prefix(df: DataFrame) -> str:
+    """Underscores that no column of df begins with, for the names of columns on the way."""
+    prefix = "_"
+    while any(c.startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
 
 
 def text_of(name: str = "text") -> Column:
@@ -69,22 +122,30 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> None:
         spark.conf.set(key, str(rows))
 
 
+def within_budget(sized: list[tuple[int, int]], chars: int) -> int:
+    """How many of (key, characters) can be taken in order before `chars` is exceeded."""
+    size = 0
+    for n, (_, length) in enumerate(sized):
+        size += length
+        if size > chars:
+            return n
+    return len(sized)
+
+
 def hash_sample(docs: DataFrame, text: str, rows: int, chars: int) -> list[str]:
-    """At most `rows` texts of at most `chars` characters together, for training. They are taken
-    from the whole table by a hash of the text, so the choice doesn't depend on partitions' order
-    beyond that bound."""
+    """At most `rows` distinct texts of at most `chars` characters together, for training: those of
+    least hash over the whole table, in that order, so the choice depends on the texts alone and
+    not on how they are laid out. Copies count once, however many there are."""
     total = docs.count()
     if not total:
         return []
-    picked = docs.select(F.col(text).cast("string").alias("t")).filter("t is not null and t <> ''")
-    if total > rows:
-        share = rows / total
-        picked = picked.filter(F.pmod(F.xxhash64("t"), F.lit(1 << 40)) < int(share * (1 << 40)))
-    out: list[str] = []
-    size = 0
-    for row in picked.limit(rows).toLocalIterator():
-        size += len(row.t)
-        if size > chars:
-            break
-        out.append(row.t)
-    return out
+    share = min(1.0, 2 * rows / total)
+    key = F.shiftrightunsigned(F.xxhash64("t"), 1)
+    picked = docs.select(F.col(text).cast("string").alias("t")).filter("t is not null and t <> ''").withColumn("h", key)
+    picked = picked.filter(F.col("h") <= int(share * ((1 << 63) - 1)))
+    sized = picked.groupBy("h").agg(F.max(F.length("t")).alias("n")).orderBy("h").limit(rows).collect()
+    sized = sized[: within_budget(sized, chars)]
+    if not sized:
+        return []
+    texts = picked.filter(F.col("h") <= sized[-1].h).groupBy("h").agg(F.max("t").alias("t")).collect()
+    return [r.t for r in sorted(texts, key=lambda r: r.h)]

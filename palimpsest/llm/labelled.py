@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.common import within_budget
+
 
 def remainder(row_id: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo `modulus`; a null id counts as empty text."""
@@ -25,33 +27,29 @@ def training_rows(
     """At most `rows` labelled texts with `usable` true, and at most `chars` characters together.
 
     Labels are sampled by a hash of the id before any text is touched, so the join's small side has
-    at most `rows` ids whatever the size of the tables. Null labels and ids are left out; of an id
-    labelled twice the greater label counts."""
+    at most `rows` ids whatever the size of the tables. Texts are taken in the order of that hash,
+    so the choice doesn't depend on how the tables are laid out. Null labels and ids are left out;
+    of an id labelled twice the greater label counts, of one with several texts the greatest."""
     spark = docs.sparkSession
-    known = labels.filter(usable & F.col(label).isNotNull() & F.col(row_id).isNotNull()).select(row_id, label)
+    known = labels.filter(usable & F.col(label).isNotNull() & F.col(row_id).isNotNull())
+    known = known.select(F.col(row_id).cast("long").alias("i"), F.col(label).cast("int").alias("y"))
     total = known.count()
     if not total:
         return []
-    if total > rows:
-        cut = int(rows / total * (1 << 40))
-        known = known.filter(F.pmod(F.xxhash64(F.col(row_id), F.lit("sample")), F.lit(1 << 40)) < cut)
-    chosen: dict[int, int] = {}
-    for r in known.orderBy(row_id, F.desc(label)).limit(rows).collect():
-        chosen.setdefault(r[0], int(r[1]))
+    key = F.shiftrightunsigned(F.xxhash64("i", F.lit("sample")), 1)
+    known = known.withColumn("h", key).filter(F.col("h") <= int(min(1.0, 2 * rows / total) * ((1 << 63) - 1)))
+    chosen = known.groupBy("i").agg(F.max("y").alias("y"), F.min("h").alias("h")).orderBy("h", "i").limit(rows).collect()
     if not chosen:
         return []
-    small = spark.createDataFrame(sorted(chosen.items()), "sample_id long, sample_label int")
-    joined = docs.select(F.col(row_id).cast("long").alias("sample_id"), F.col(text).cast("string").alias("t")).join(
-        F.broadcast(small), "sample_id"
-    )
-    out: list[tuple[str, int]] = []
-    size = 0
-    for r in joined.select("t", "sample_label").toLocalIterator():
-        size += len(r.t or "")
-        if size > chars:
-            break
-        out.append((r.t or "", r.sample_label))
-    return sorted(out)
+    texts = docs.select(F.col(row_id).cast("long").alias("i"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
+    ids = lambda rs: F.broadcast(spark.createDataFrame([(r.i,) for r in rs], "i long"))
+    sizes = dict(texts.join(ids(chosen), "i").groupBy("i").agg(F.max(F.length("t"))).collect())
+    held = [r for r in chosen if r.i in sizes]
+    held = held[: within_budget([(r.i, sizes[r.i]) for r in held], chars)]
+    if not held:
+        return []
+    found = dict(texts.join(ids(held), "i").groupBy("i").agg(F.max("t")).collect())
+    return [(found[r.i], r.y) for r in held]
 
 
 class Adam:

@@ -6,21 +6,21 @@
 2. Lines estimated within three standard errors of `min_sites` get an exact distinct count; those
    above are wide, those below are not.
 3. The occurrences of wide lines are gathered for each document as line numbers, and only those
-   numbers are joined to the texts. The set of wide lines grows with the corpus, so no side is
-   forced into a broadcast.
+   numbers are joined to the texts. The set of wide lines grows with the corpus, so it isn't
+   broadcast; only the commonest lines are, a fixed number, so no task gets all rows of one line.
 
 All steps are DataFrame functions. Key columns are hashed from the row's id and text.
 
-A document of which wide lines make up more than `max_share` of the characters is a copy of a
-document and not a page with boilerplate on it; it stays whole, for near-duplicate removal. With
-`max_share` None there is no such share: wide lines go wherever a line of the document's own remains,
-and only documents that hold nothing else stay whole.
+Wide lines are cut wherever a line of the document's own remains. A document that holds nothing
+else is a copy of a document and not a page under boilerplate: it stays whole, for near-duplicate
+removal, and has n_removed = 0. `max_share` is an option that is off: with it, documents stay whole
+of whose characters wide lines make up more than that share.
 
 Defined results: lines are compared without the white space at their ends; lines without a word
 are never counted and never removed; a null text has no lines and stays null; a null site is a
-site of its own; repeated rows get the same result each; other columns pass through unless their
-names are those of the results (n_lines, n_wide_lines, n_removed), which then replace them. Column
-names that begin with an underscore are reserved.
+site of its own; repeated rows get the same result each; other columns pass through, whatever
+their names, unless those are of the results (n_lines, n_wide_lines, n_removed), which then
+replace them.
 """
 
 from __future__ import annotations
@@ -30,10 +30,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import written
+from palimpsest.llm.common import free_prefix, meet, written
 
 MIN_SITES = 5
-MAX_SHARE = 0.5
 LG_K = 8
 KEY = ["_h1", "_h2"]
 ROW = ["_k1", "_k2"]
@@ -64,51 +63,48 @@ def line_table(docs: DataFrame, text: str, site: str, row_id: str) -> DataFrame:
 
 
 def wide_lines(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
-    """Keys of the lines on at least `min_sites` distinct sites."""
+    """Keys of the lines on at least `min_sites` distinct sites, and `_often`, their occurrences."""
     low, high = near_band(min_sites, lg_k)
-    spread = lines.groupBy(*KEY).agg(F.hll_sketch_estimate(F.hll_sketch_agg("_site", F.lit(lg_k))).alias("_sites"))
+    spread = lines.groupBy(*KEY).agg(
+        F.hll_sketch_estimate(F.hll_sketch_agg("_site", F.lit(lg_k))).alias("_sites"), F.count("*").alias("_often")
+    )
     likely = written(spread.filter(F.col("_sites") >= low), "line-spread")
-    near = likely.filter(F.col("_sites") <= high).select(*KEY)
-    exact = lines.select(*KEY, "_site").join(near, KEY, "left_semi").distinct().groupBy(*KEY).count()
-    return likely.filter(F.col("_sites") > high).select(*KEY).unionByName(exact.filter(F.col("count") >= min_sites).select(*KEY))
+    near = likely.filter(F.col("_sites") <= high).select(*KEY, "_often")
+    exact = meet(lines.select(*KEY, "_site"), near, KEY, "_often").groupBy(*KEY, "_often", "_site").agg(F.lit(1).alias("_one"))
+    counted = exact.groupBy(*KEY, "_often").count().filter(F.col("count") >= min_sites)
+    return likely.filter(F.col("_sites") > high).select(*KEY, "_often").unionByName(counted.select(*KEY, "_often"))
 
 
 def remove_wide_lines(
     docs: DataFrame,
     min_sites: int = MIN_SITES,
-    max_share: float | None = MAX_SHARE,
+    max_share: float | None = None,
     text: str = "text",
     site: str = "source",
     row_id: str = "doc_id",
 ) -> DataFrame:
     """docs with the wide lines cut from the text, and n_lines, n_wide_lines and n_removed."""
     lines = line_table(docs, text, site, row_id)
-    hits = (
-        lines.select(*ROW, "_pos", *KEY)
-        .join(wide_lines(lines, min_sites), KEY)
-        .groupBy(*ROW)
-        .agg(F.collect_set("_pos").alias("_wide"))
-    )
+    wide = written(wide_lines(lines, min_sites), "wide-lines")
+    p = free_prefix(docs)
+    k1, k2, at, split, size = (f"{p}{x}" for x in ("k1", "k2", "wide", "split", "cut"))
+    hits = meet(lines.select(*ROW, "_pos", *KEY), wide, KEY, "_often").groupBy(*ROW).agg(F.collect_set("_pos").alias(at))
+    hits = hits.withColumnsRenamed({"_k1": k1, "_k2": k2})
     made = ("n_lines", "n_wide_lines", "n_removed")
-    keyed = docs.drop(*made).withColumns(
-        {"_k1": F.xxhash64(row_id, text), "_k2": F.xxhash64(F.lit("row"), row_id, text)}
-    )
-    df = keyed.join(hits, ROW, "left").drop(*ROW).withColumn("_wide", F.coalesce("_wide", F.array().cast("array<int>")))
-    df = df.withColumn("_split", F.split(text, "\n"))
-    df = df.withColumn(
-        "_cut",
-        F.aggregate(F.transform("_wide", lambda i: F.length(F.get("_split", i))), F.lit(0), lambda a, n: a + n),
-    )
-    n_lines = F.size(F.filter("_split", lambda x: _trimmed(x) != ""))
-    page = F.size("_wide") < n_lines if max_share is None else F.col("_cut") <= F.length(text) * F.lit(max_share)
-    cut = (F.size("_wide") > 0) & page
+    keyed = docs.drop(*made).withColumns({k1: F.xxhash64(row_id, text), k2: F.xxhash64(F.lit("row"), row_id, text)})
+    df = keyed.join(hits, [k1, k2], "left").drop(k1, k2).withColumn(at, F.coalesce(at, F.array().cast("array<int>")))
+    df = df.withColumn(split, F.split(text, "\n"))
+    df = df.withColumn(size, F.aggregate(F.transform(at, lambda i: F.length(F.get(split, i))), F.lit(0), lambda a, n: a + n))
+    n_lines = F.size(F.filter(split, lambda x: _trimmed(x) != ""))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), at)
+    cut = (F.size(at) > 0) & (F.size(at) < n_lines)
+    if max_share is not None:
+        cut = cut & (F.col(size) <= F.length(text) * F.lit(max_share))
     return df.withColumns(
         {
-            text: F.when(
-                cut, F.array_join(F.filter("_split", lambda x, i: ~F.array_contains("_wide", i)), "\n")
-            ).otherwise(F.col(text)),
+            text: F.when(cut, F.array_join(F.transform(kept, lambda i: F.get(split, i)), "\n")).otherwise(F.col(text)),
             "n_lines": F.when(F.col(text).isNotNull(), n_lines.cast("long")).otherwise(F.lit(0).cast("long")),
-            "n_wide_lines": F.size("_wide").cast("long"),
-            "n_removed": F.when(cut, F.size("_wide")).otherwise(0).cast("long"),
+            "n_wide_lines": F.size(at).cast("long"),
+            "n_removed": F.when(cut, F.size(at)).otherwise(0).cast("long"),
         }
-    ).drop("_wide", "_split", "_cut")
+    ).drop(at, split, size)

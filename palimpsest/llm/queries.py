@@ -35,15 +35,6 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def op3_own_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op3 without the share of its SQL: wide lines go wherever lines of the document's own remain."""
-    from palimpsest.llm.line_dedup import remove_wide_lines
-
-    return remove_wide_lines(table(spark, sf_dir, "documents"), max_share=None).select(
-        "doc_id", "n_lines", "n_wide_lines", "n_removed", "text"
-    )
-
-
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.warc import planned, read_archives, write_archives
 
@@ -110,7 +101,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_rules,
         op9_sentencepiece,
         op10_secret_scan,
-        op3_own_lines,
     )
 }
 
@@ -139,7 +129,7 @@ m AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
              CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words,
              len(ls) AS n_lines,
              length(regexp_replace(t, '[^!]+', '', 'g')) AS n_bangs,
-             len(list_filter(list_distinct(ws), lambda x: x IN ({stops}))) AS n_stop_words,
+             len(list_filter(ws, lambda x: lower(x) IN ({stops}))) AS n_stop_words,
              len(list_filter(ls, lambda x: regexp_matches(x, '^[\x20\t]*[-*•]'))) AS n_bullet_lines,
              len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\t\r]*$'))) AS n_ellipsis_lines
       FROM w LEFT JOIN r ON w.rn = r.rn),
@@ -150,19 +140,19 @@ FROM b"""
 
 
 def _op3_sql() -> str:
-    from palimpsest.llm.line_dedup import MAX_SHARE, MIN_SITES
+    from palimpsest.llm.line_dedup import MIN_SITES
 
     space = r" \t\n\x0b\x0c\r"
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS rn, doc_id, coalesce(source, '') AS site, text,
                   string_split(text, chr(10)) AS ls FROM documents),
 u AS (SELECT rn, site, unnest(range(1, len(ls) + 1)) AS i, ls FROM d),
-l AS (SELECT rn, site, i, length(ls[i]) AS n, regexp_replace(ls[i], '^[{space}]+|[{space}]+$', '', 'g') AS x FROM u),
+l AS (SELECT rn, site, i, regexp_replace(ls[i], '^[{space}]+|[{space}]+$', '', 'g') AS x FROM u),
 w AS (SELECT x FROM l WHERE x <> '' GROUP BY x HAVING count(DISTINCT site) >= {MIN_SITES}),
-h AS (SELECT rn, list(i) AS wide, sum(n) AS cut FROM l WHERE x IN (SELECT x FROM w) GROUP BY rn),
+h AS (SELECT rn, list(i) AS wide FROM l WHERE x IN (SELECT x FROM w) GROUP BY rn),
 n AS (SELECT rn, count(*) AS n_lines FROM l WHERE x <> '' GROUP BY rn),
 j AS (SELECT d.doc_id, d.text, d.ls, coalesce(n.n_lines, 0) AS n_lines, h.wide,
-             h.wide IS NOT NULL AND h.cut <= length(d.text) * {MAX_SHARE} AS c
+             h.wide IS NOT NULL AND len(h.wide) < n.n_lines AS c
       FROM d LEFT JOIN h ON d.rn = h.rn LEFT JOIN n ON d.rn = n.rn)
 SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(coalesce(len(wide), 0) AS BIGINT) AS n_wide_lines,
        CAST(CASE WHEN c THEN len(wide) ELSE 0 END AS BIGINT) AS n_removed,
