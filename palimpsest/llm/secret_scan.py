@@ -1,7 +1,8 @@
 r"""Secret scan: keyed assignments, access keys, hex runs, and strings of high sliding entropy.
 
 Each pattern is matched twice by built-in functions, once for the matches and once for the pieces
-between them, and running sums of their lengths give code-point offsets. Candidate strings that no
+between them, and running sums of their lengths give code-point offsets, in n log n steps for n
+matches. Which candidates touch a match is read off running maxima over the sorted spans. Candidate strings that no
 pattern covers are measured by a window of 20 characters: the counts of the candidate's characters
 are kept in an array, each step takes one character out and one in, and the sum of c * log2(c),
 from which Shannon entropy follows, is updated by those two counts alone. A candidate is a secret
@@ -11,8 +12,8 @@ and strings without both a letter and a digit are left out; that never touches p
 Main path: DataFrame functions only.
 
 Defined results: a null text counts as empty; repeated rows are scanned one by one; other columns
-pass through unless their names are those of the results. Column
-names that begin with an underscore are reserved.
+pass through, whatever their names, unless those are of the results (base, added, n_assign,
+n_access, n_hex, base_sha256, spans), which then replace them.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import text_of
+from palimpsest.functions.arrays import running_max, running_sum
+from palimpsest.llm.common import free_prefix, text_of
 
 #: The base patterns; kind, pattern, group whose length counts, least length.
 BASE = (
@@ -55,37 +57,45 @@ SPAN = "struct<start:int,rank:int,end:int,word:string>"
 def _matches(text: Column, pattern: str, group: int, least: int, rank: int, hint: str | None) -> Column:
     """Spans of all matches of a pattern whose group has at least `least` characters."""
     whole, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    # The last piece has no match behind it; as a row without one it does no harm.
     parts = F.arrays_zip(
         whole.alias("m"), pieces.alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("g")
     )
-    empty = F.array().cast(f"array<{SPAN}>")
-    found = F.aggregate(
-        F.filter(parts, lambda x: x["m"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["p"]) + F.length(x["m"])).alias("at"),
-            F.when(
-                F.length(x["g"]) >= least,
-                F.concat(
-                    acc["out"],
-                    F.array(
-                        F.struct(
-                            (acc["at"] + F.length(x["p"])).alias("start"),
-                            F.lit(rank).alias("rank"),
-                            (acc["at"] + F.length(x["p"]) + F.length(x["m"])).alias("end"),
-                            x["m"].alias("word"),
-                        )
-                    ),
-                ),
-            )
-            .otherwise(acc["out"])
-            .alias("out"),
+    length = lambda name: lambda x: F.coalesce(F.length(x[name]), F.lit(0))
+    ends = running_sum(F.transform(parts, lambda x: length("p")(x) + length("m")(x)))
+    spans = F.zip_with(
+        parts,
+        ends,
+        lambda x, end: F.struct(
+            (end - length("m")(x)).alias("start"), F.lit(rank).alias("rank"), end.alias("end"), x["m"].alias("word"),
+            (F.coalesce(F.length(x["g"]), F.lit(-1)) >= least).alias("held"),
         ),
-        lambda acc: acc["out"],
     )
+    plain = lambda x: F.struct(*[x[n].alias(n) for n in ("start", "rank", "end", "word")])
+    found = F.transform(F.filter(spans, lambda x: x["held"]), plain).cast(f"array<{SPAN}>")
+    empty = F.array().cast(f"array<{SPAN}>")
     return F.when(text.rlike(hint), found).otherwise(empty) if hint else found
 
 
+def _clear_of(spans: Column, base: Column) -> Column:
+    """Those of `spans`, themselves without overlap, that touch none of `base`. All are sorted by
+    start: a span is touched if a base span before it ends behind its start, or one behind it
+    starts before its end."""
+    far = (1 << 31) - 1
+    both = lambda: F.sort_array(F.concat(base, spans))
+    rank = len(BASE)
+    ends = running_max(F.transform(both(), lambda s: F.when(s["rank"] < rank, s["end"]).otherwise(0)))
+    # Starts are turned round (far - start), so that the least start behind is a maximum, too.
+    behind = F.reverse(running_max(F.transform(F.reverse(both()), lambda s: F.when(s["rank"] < rank, F.lit(far) - s["start"]).otherwise(0))))
+    marked = F.zip_with(
+        F.zip_with(both(), ends, lambda s, e: F.struct(s.alias("s"), e.alias("e"))),
+        behind,
+        lambda x, b: F.struct(x["s"].alias("s"), ((x["s"]["rank"] == rank) & (x["e"] <= x["s"]["start"]) & (F.lit(far) - b >= x["s"]["end"])).alias("clear")),
+    )
+    clear = F.transform(F.filter(marked, lambda x: x["clear"]), lambda x: x["s"]).cast(f"array<{SPAN}>")
+    return F.when((F.size(spans) == 0) | (F.size(base) == 0), spans).otherwise(clear)
+
+
 def _xlog(c: Column) -> Column:
     return F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
 
@@ -156,23 +166,19 @@ def _listed(spans: Column) -> Column:
 def secret_scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with `base` and `added` (arrays of spans: start, rank of the kind, end, word), n_assign,
     n_access, n_hex, base_sha256 and spans."""
-    df = docs.withColumn("_text", text_of(text))
+    p = free_prefix(docs)
+    whole, long = f"{p}text", f"{p}long"
+    df = docs.withColumn(whole, text_of(text))
     found = {}
     for rank, (kind, pattern, group, least) in enumerate(BASE):
-        found[f"_{kind}"] = _matches(F.col("_text"), pattern, group, least, rank, HINTS[kind])
-    found["_long"] = _matches(F.col("_text"), CANDIDATE, 0, WINDOW, len(BASE), r"[A-Za-z0-9+/_=-]{20}")
+        found[p + kind] = _matches(F.col(whole), pattern, group, least, rank, HINTS[kind])
+    found[long] = _matches(F.col(whole), CANDIDATE, 0, WINDOW, len(BASE), r"[A-Za-z0-9+/_=-]{20}")
     # Reading the partition id keeps the optimizer from moving a later filter below these steps.
-    df = df.withColumns(found).withColumn("base", F.when(F.spark_partition_id() >= 0, F.concat(*[F.col(f"_{k}") for k, *_ in BASE])))
-    df = df.withColumn(
-        "added",
-        F.filter(
-            F.filter(
-                "_long", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-            ),
-            lambda s: _secret(s["word"]),
-        ),
+    df = df.withColumns(found).withColumn(
+        "base", F.when(F.spark_partition_id() >= 0, F.concat(*[F.col(p + k) for k, *_ in BASE]))
     )
-    made = {f"n_{kind}": F.size(f"_{kind}").cast("long") for kind, *_ in BASE}
+    df = df.withColumn("added", F.filter(_clear_of(F.col(long), F.col("base")), lambda s: _secret(s["word"])))
+    made = {f"n_{kind}": F.size(p + kind).cast("long") for kind, *_ in BASE}
     made["base_sha256"] = F.sha2(_listed(F.col("base")), 256)
     made["spans"] = _listed(F.concat("base", "added"))
-    return df.withColumns(made).drop("_text", "_long", *[f"_{k}" for k, *_ in BASE])
+    return df.withColumns(made).drop(whole, long, *[p + k for k, *_ in BASE])
