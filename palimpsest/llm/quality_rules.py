@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import SPACE, text_of
+from palimpsest.llm.common import SPACE, free_prefix, text_of
 
 #: Frequent function words of English, German, French and Spanish.
 STOP_WORDS = (
@@ -30,7 +30,7 @@ RULES: tuple[tuple[str, str, str, float | None, float | None], ...] = (
     ("word_length", "word_chars", "n_words", 2.0, 14.0),
     ("symbols_per_word", "n_symbols", "n_words", None, 0.10),
     ("bangs_per_word", "n_bangs", "n_words", None, 0.30),
-    ("stop_words", "n_stop_words", "", 2, None),
+    ("stop_words", "n_stop_words", "n_words", 0.03, None),
     ("duplicate_lines", "n_dup_lines", "n_lines", None, 0.50),
     ("bullet_lines", "n_bullet_lines", "n_lines", None, 0.90),
     ("ellipsis_lines", "n_ellipsis_lines", "n_lines", None, 0.30),
@@ -49,38 +49,39 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     n_repeat_words: three-word windows are hashed; where a window's hash occurs again in the
     text, sorting (hash, position) pairs brings its places together, and the words covered are
     the union of the three-word intervals from those places."""
-    df = docs.withColumn("_text", text_of(text))
-    df = df.withColumn("_words", F.array_remove(F.split("_text", SPACE), ""))
-    df = df.withColumn("_n", F.size("_words"))
+    p = free_prefix(docs)
+    df = docs.withColumn(f"{p}text", text_of(text))
+    df = df.withColumn(f"{p}words", F.array_remove(F.split(f"{p}text", SPACE), ""))
+    df = df.withColumn(f"{p}n", F.size(f"{p}words"))
     df = df.withColumn(
-        "_grams",
+        f"{p}grams",
         F.when(
-            F.col("_n") >= 4,
+            F.col(f"{p}n") >= 4,
             F.transform(
-                F.sequence(F.lit(1), F.col("_n") - 2),
-                lambda i: F.xxhash64(F.get("_words", i - 1), F.get("_words", i), F.get("_words", i + 1)),
+                F.sequence(F.lit(1), F.col(f"{p}n") - 2),
+                lambda i: F.xxhash64(F.get(f"{p}words", i - 1), F.get(f"{p}words", i), F.get(f"{p}words", i + 1)),
             ),
         ).otherwise(F.array().cast("array<bigint>")),
     )
     df = df.withColumn(
-        "_sorted",
+        f"{p}sorted",
         F.when(
-            F.size(F.array_distinct("_grams")) < F.size("_grams"),
-            F.sort_array(F.transform("_grams", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
+            F.size(F.array_distinct(f"{p}grams")) < F.size(f"{p}grams"),
+            F.sort_array(F.transform(f"{p}grams", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
         ),
     )
     df = df.withColumn(
-        "_starts",
+        f"{p}starts",
         F.sort_array(
             F.transform(
                 F.filter(
                     F.transform(
-                        "_sorted",
+                        f"{p}sorted",
                         lambda s, k: F.struct(
                             s["i"].alias("i"),
                             (
-                                F.coalesce(s["h"] == F.get("_sorted", k - 1)["h"], F.lit(False))
-                                | F.coalesce(s["h"] == F.get("_sorted", k + 1)["h"], F.lit(False))
+                                F.coalesce(s["h"] == F.get(f"{p}sorted", k - 1)["h"], F.lit(False))
+                                | F.coalesce(s["h"] == F.get(f"{p}sorted", k + 1)["h"], F.lit(False))
                             ).alias("twice"),
                         ),
                     ),
@@ -91,31 +92,31 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         ),
     )
     repeat = F.when(
-        F.col("_starts").isNotNull(),
+        F.col(f"{p}starts").isNotNull(),
         F.aggregate(
-            F.transform("_starts", lambda i, k: F.least(F.lit(3), F.coalesce(F.get("_starts", k + 1) - i, F.lit(3)))),
+            F.transform(f"{p}starts", lambda i, k: F.least(F.lit(3), F.coalesce(F.get(f"{p}starts", k + 1) - i, F.lit(3)))),
             F.lit(0).cast("long"),
             lambda total, n: total + n,
         ),
     ).otherwise(F.lit(0).cast("long"))
-    lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = df.withColumn("_lines", lines)
-    stops = F.array(*[F.lit(w) for w in dict.fromkeys(STOP_WORDS)])
+    lines = F.filter(F.split(f"{p}text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    df = df.withColumn(f"{p}lines", lines)
+    stops = list(dict.fromkeys(STOP_WORDS))
     found = {
         # Reading the partition id keeps the optimizer from moving a later filter on a measure
         # below these projections, where it would compute every measure again for each use.
-        "n_words": F.when(F.spark_partition_id() >= 0, F.col("_n").cast("long")),
-        "word_chars": F.length(F.array_join("_words", "")).cast("long"),
-        "n_symbols": _count_of(F.col("_text"), r"#*$%&|<>"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+        "n_words": F.when(F.spark_partition_id() >= 0, F.col(f"{p}n").cast("long")),
+        "word_chars": F.length(F.array_join(f"{p}words", "")).cast("long"),
+        "n_symbols": _count_of(F.col(f"{p}text"), r"#*$%&|<>"),
+        "n_dup_lines": (F.size(f"{p}lines") - F.size(F.array_distinct(f"{p}lines"))).cast("long"),
         "n_repeat_words": repeat,
-        "n_lines": F.size("_lines").cast("long"),
-        "n_bangs": _count_of(F.col("_text"), "!"),
-        "n_stop_words": F.size(F.array_intersect("_words", stops)).cast("long"),
-        "n_bullet_lines": F.size(F.filter("_lines", lambda x: x.rlike(r"^[\x20\t]*[-*•]"))).cast("long"),
-        "n_ellipsis_lines": F.size(F.filter("_lines", lambda x: x.rlike(r"(\.\.\.|…)[\x20\t\r]*$"))).cast("long"),
+        "n_lines": F.size(f"{p}lines").cast("long"),
+        "n_bangs": _count_of(F.col(f"{p}text"), "!"),
+        "n_stop_words": F.size(F.filter(f"{p}words", lambda w: F.lower(w).isin(*stops))).cast("long"),
+        "n_bullet_lines": F.size(F.filter(f"{p}lines", lambda x: x.rlike(r"^[\x20\t]*[-*•]"))).cast("long"),
+        "n_ellipsis_lines": F.size(F.filter(f"{p}lines", lambda x: x.rlike(r"(\.\.\.|…)[\x20\t\r]*$"))).cast("long"),
     }
-    return df.withColumns(found).drop("_text", "_words", "_n", "_grams", "_sorted", "_starts", "_lines")
+    return df.withColumns(found).drop(f"{p}text", f"{p}words", f"{p}n", f"{p}grams", f"{p}sorted", f"{p}starts", f"{p}lines")
 
 
 def base_failed() -> Column:

@@ -76,3 +76,11 @@ def test_many_sites_and_estimates(spark):
         lines = L.line_table(docs, "text", "source", "doc_id")
         found = lines.join(L.wide_lines(lines, least), L.KEY).count()
         assert found == sum(x in wide for _, t, _ in rows for x in t.split("\n"))
+
+
+def test_rules_keep_clashing_columns(spark):
+    good = " ".join(f"The word{i} of x{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, good, "a", "b", "c"), (2, good.replace("The", "Thy").replace(" of", " off"), "a", "b", "c")], "doc_id long, text string, _text string, _words string, kept string")
+    out = {r.doc_id: r for r in Q.quality_rules(docs).collect()}
+    assert (out[1]["_text"], out[1]["_words"], out[1].n_stop_words, out[1].kept) == ("a", "b", 80, True)
+    assert (out[2].n_stop_words, out[2].kept) == (0, False)
