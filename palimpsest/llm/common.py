@@ -140,9 +140,9 @@ def hash_sample(docs: DataFrame, text: str, rows: int, chars: int) -> list[str]:
     if not total:
         return []
     share = min(1.0, 2 * rows / total)
-    key = F.shiftrightunsigned(F.xxhash64("t"), 1)
+    key = F.shiftrightunsigned(F.xxhash64("t"), 2)
     picked = docs.select(F.col(text).cast("string").alias("t")).filter("t is not null and t <> ''").withColumn("h", key)
-    picked = picked.filter(F.col("h") <= int(share * ((1 << 63) - 1)))
+    picked = picked.filter(F.col("h") <= int(share * (1 << 62)))
     sized = picked.groupBy("h").agg(F.max(F.length("t")).alias("n")).orderBy("h").limit(rows).collect()
     sized = sized[: within_budget(sized, chars)]
     if not sized:

@@ -36,8 +36,8 @@ def training_rows(
     total = known.count()
     if not total:
         return []
-    key = F.shiftrightunsigned(F.xxhash64("i", F.lit("sample")), 1)
-    known = known.withColumn("h", key).filter(F.col("h") <= int(min(1.0, 2 * rows / total) * ((1 << 63) - 1)))
+    key = F.shiftrightunsigned(F.xxhash64("i", F.lit("sample")), 2)
+    known = known.withColumn("h", key).filter(F.col("h") <= int(min(1.0, 2 * rows / total) * (1 << 62)))
     chosen = known.groupBy("i").agg(F.max("y").alias("y"), F.min("h").alias("h")).orderBy("h", "i").limit(rows).collect()
     if not chosen:
         return []

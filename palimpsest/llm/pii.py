@@ -5,14 +5,18 @@ hold a digit, an at sign or a plus (all others are outside by construction): O,
 phone. Its potentials are
   - features of a token's shape and neighbours,
   - an edge between tokens that stand next to each other,
-  - a skip edge from each token to the next one with the same or a similar core (equal after the
-    digits' separators are dropped, or equal but for one digit of eight or more), however distant.
-Loopy sum-product message passing over both kinds of edges, until the messages settle or have had
-time to cross the document's tokens twice, makes the labels of a document's repeated entities agree. Tokens whose marginal reaches ADD_AT and that touch no base span are added; base
-spans always stay.
+  - a skip edge from each token to the next one with the same or a similar name, however distant. A
+    token's name is its digits if there are SIMILAR of them, else its core in lower case; names of
+    digits are similar if they are equal but for one digit, however long.
+Loopy sum-product message passing over both kinds of edges, first along all edges at once and then
+in sweeps over the tokens, there and back, until the messages settle, makes the labels of a
+document's repeated entities agree.
+Tokens whose marginal reaches ADD_AT and that touch no base span are added, neighbours of one label
+as one span unless one of them is an entity by itself; base spans always stay.
 
 Weights are trained by pseudo-likelihood against the base spans of a bounded sample of documents
-(SAMPLE_DOCS, SAMPLE_CHARS), chosen by a hash of the row from the whole table.
+(SAMPLE_DOCS, SAMPLE_CHARS), those of least hash in the whole table; only training is bounded, and
+the choice doesn't depend on how the rows are laid out.
 
 Repeated tokens are linked to the next occurrence only, so edges grow with the text and not with
 the square of a group. Patterns are run so that no text makes them quadratic.
@@ -40,9 +44,11 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS)
 SAMPLE_DOCS, SAMPLE_CHARS = 3000, 12_000_000
 ADD_AT = 0.9
-ROUNDS = 8
+SIMILAR = 6
+#: Rounds along all edges at once, and sweeps that may follow until no message changes by more than
+#: SETTLED. A sweep crosses the whole document, so few are needed; the later ones are damped.
+ROUNDS, SWEEPS, FREE_SWEEPS = 8, 60, 6
 DAMPING = 0.3
-#: Messages go on, ROUNDS times at least, until none changes by more than this.
 SETTLED = 1e-6
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -174,33 +180,69 @@ class Graph:
 
 
 def _word_before(text: str, at: int) -> str:
-    return text[max(0, at - 24) : at].split()[-1:][0].strip(_EDGE + "()").lower() if text[max(0, at - 24) : at].split() else ""
+    """The word before a place, however many blanks lie between."""
+    end = at
+    while end and text[end - 1].isspace():
+        end -= 1
+    begin = end
+    while begin and not text[begin - 1].isspace():
+        begin -= 1
+    return text[begin:end].strip(_EDGE + "()").lower()
 
 
 def _word_after(text: str, at: int) -> str:
-    return text[at : at + 24].split()[0].strip(_EDGE + "()").lower() if text[at : at + 24].split() else ""
+    m = _TOKEN.search(text, at)
+    return m[0].strip(_EDGE + "()").lower() if m else ""
+
+
+def _scrambled(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    return x ^ (x >> np.uint64(29))
+
+
+def _name_keys(name: str) -> np.ndarray:
+    """A 64-bit key of the name itself, and of a name of digits those with each digit in turn left
+    open."""
+    c = np.frombuffer(name.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    place = np.arange(1, len(c) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    parts = _scrambled(_scrambled(place) ^ (c + np.uint64(1)))
+    total = parts.sum(dtype=np.uint64) + np.uint64(len(c))
+    if len(c) < SIMILAR or not (name.isascii() and name.isdigit()):
+        return total[None]
+    return np.concatenate((total[None], total - parts + _scrambled(place + np.uint64(5))))
+
+
+def skip_edges(names: list[str]) -> list[tuple[int, int]]:
+    """Each name with the last one before it that shares a key, for all of its keys."""
+    if len(names) < 2:
+        return []
+    keys = [_name_keys(x) for x in names]
+    owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+    flat = np.concatenate(keys)
+    order = np.lexsort((owner, flat))
+    flat, owner = flat[order], owner[order]
+    same = (flat[1:] == flat[:-1]) & (owner[1:] != owner[:-1])
+    if not same.any():
+        return []
+    return [tuple(x) for x in np.unique(np.stack((owner[:-1][same], owner[1:][same]), 1), axis=0).tolist()]
 
 
 def graph(text: str) -> Graph:
     g = Graph()
-    seen: dict[str, int] = {}
+    names: list[str] = []
     found = tokens(text)
     for k, (a, b) in enumerate(found):
         raw = text[a:b]
         core = raw.strip(_EDGE)
         digits = _NOT_DIGIT.sub("", core)
-        near = k > 0 and text[found[k - 1][1] : a].isspace() and a - found[k - 1][1] <= 2
-        follows = k + 1 < len(found) and text[b : found[k + 1][0]].isspace() and found[k + 1][0] - b <= 2
+        near = k > 0 and a - found[k - 1][1] <= 2 and text[found[k - 1][1] : a].isspace()
+        follows = k + 1 < len(found) and found[k + 1][0] - b <= 2 and text[b : found[k + 1][0]].isspace()
         g.spans.append((a + (len(raw) - len(raw.lstrip(_EDGE))), a + max(1, len(raw.rstrip(_EDGE)))) if core else (a, b))
         g.unary.append(features(core, digits, "\0" if near else _word_before(text, a), "\0" if follows else _word_after(text, b)))
         if near:
             g.chain.append((k - 1, k))
-        keys = {digits if len(digits) >= 6 else core.lower()}
-        if 8 <= len(digits) <= 40:  # equal but for one digit: some key with a digit left out is shared
-            keys |= {f"{digits[:i]}_{digits[i + 1 :]}" for i in range(len(digits))}
-        last = {seen[x] for x in keys if x in seen}
-        g.skip += [(i, k) for i in sorted(last)]
-        seen.update(dict.fromkeys(keys, k))
+        names.append(digits if len(digits) >= SIMILAR else core.lower())
+    g.skip = skip_edges(names)
     return g
 
 
@@ -213,8 +255,8 @@ class Field:
     skip: np.ndarray
 
     def marginals(self, g: Graph, rounds: int | None = None) -> np.ndarray:
-        """Label probabilities of the tokens, by damped sum-product messages over all edges at once,
-        for a number of rounds or until they settle."""
+        """Label probabilities of the tokens by sum-product messages: after `rounds` damped rounds
+        over all edges at once, or, without a number, after as many and as many sweeps as it takes."""
         n, k = len(g.spans), len(LABELS)
         score = np.array([self.unary[f].sum(0) for f in g.unary]).reshape(n, k)
         edges = g.chain + g.skip
@@ -225,20 +267,45 @@ class Field:
             weight = np.concatenate((weight, weight.transpose(0, 2, 1)))
             back = np.concatenate((np.arange(len(tail)) + len(tail), np.arange(len(tail))))
             message = np.zeros((len(source), k))
-            for turn in range(2 * n + 60 if rounds is None else rounds):
+            step = 1.0
+            for _ in range(ROUNDS if rounds is None else rounds):
                 belief = score.copy()
                 np.add.at(belief, target, message)
-                out = belief[source] - message[back]
-                new = _log_sum(out[:, :, None] + weight, 1)
+                new = _log_sum((belief[source] - message[back])[:, :, None] + weight, 1)
                 new -= _log_sum(new, 1)[:, None]
                 new = DAMPING * message + (1 - DAMPING) * new
                 step, message = np.abs(new - message).max(), new
-                if rounds is None and turn + 1 >= ROUNDS and step < SETTLED:
-                    break
+            if rounds is None and step >= SETTLED:
+                _sweep(score, source, target, weight, back, message)
             np.add.at(score, target, message)
         return np.exp(score - _log_sum(score, 1)[:, None])
 
 
+def _sweep(score: np.ndarray, source: np.ndarray, target: np.ndarray, weight: np.ndarray, back: np.ndarray, message: np.ndarray) -> None:
+    """Update `message` along the tokens, there and back, each message with those just made."""
+    belief = score.copy()
+    np.add.at(belief, target, message)
+    there, home = np.flatnonzero(source < target), np.flatnonzero(source > target)
+    ways = (there[np.argsort(source[there], kind="stable")], home[np.argsort(-source[home], kind="stable")])
+    sources, targets, backs = source.tolist(), target.tolist(), back.tolist()
+    for turn in range(2 * SWEEPS):
+        damping = 0.0 if turn < 2 * FREE_SWEEPS else DAMPING
+        step = 0.0
+        for e in ways[turn % 2].tolist():
+            x = (belief[sources[e]] - message[backs[e]])[:, None] + weight[e]
+            top = x.max(0)
+            new = top + np.log(np.exp(x - top).sum(0))
+            most = new.max()
+            new -= most + np.log(np.exp(new - most).sum())
+            new = damping * message[e] + (1 - damping) * new
+            change = new - message[e]
+            belief[targets[e]] += change
+            message[e] = new
+            step = max(step, float(np.abs(change).max()))
+        if turn % 2 and step < SETTLED:
+            break
+
+
 def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis, keepdims=True)
     return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
@@ -260,7 +327,7 @@ def gold(g: Graph, spans: list[tuple[int, int, int]]) -> np.ndarray:
     return out
 
 
-def train(texts: list[str], steps: int = 150, rate: float = 0.3, decay: float = 1e-3) -> Field:
+def train(texts: list[str], steps: int = 200, rate: float = 0.3, decay: float = 2e-5) -> Field:
     """Pseudo-likelihood: each token's label given its features and its neighbours' labels."""
     k = len(LABELS)
     rows, labels, tails, heads, kinds = [], [], [], [], []
@@ -305,8 +372,30 @@ def train(texts: list[str], steps: int = 150, rate: float = 0.3, decay: float =
     return w
 
 
+def _whole(rank: int, part: str) -> bool:
+    """Is a token of this kind an entity by itself, so that nothing is to be joined to it?"""
+    if rank == 0:
+        return "." in part.rpartition("@")[2] and "@" in part[1:]
+    if rank == 1:
+        return part.count(".") >= 3
+    return len(_NOT_DIGIT.sub("", part)) >= (12 if rank == 2 else 9)
+
+
+def _joins(rank: int, held: str, token: str) -> bool:
+    """May a token lengthen a span that ends just before it?"""
+    if _whole(rank, token) or _whole(rank, held.split()[-1]):
+        return False
+    if rank < 2:
+        return not _whole(rank, held)
+    have, more = (_NOT_DIGIT.sub("", x) for x in (held, token))
+    if rank == 2 and (len(have) >= 16 or (len(have) >= 12 and luhn(have))):
+        return False
+    return len(have) + len(more) <= (19 if rank == 2 else 15)
+
+
 def added_spans(text: str, base: list[tuple[int, int, int]], w: Field) -> list[tuple[int, int, int]]:
-    """The field's own spans: confident tokens clear of base spans, neighbours of a label joined."""
+    """The field's own spans: confident tokens clear of base spans. Neighbours of a label are joined
+    while neither of them is whole by itself and the span isn't either."""
     g = graph(text)
     if not g.spans:
         return []
@@ -324,10 +413,12 @@ def added_spans(text: str, base: list[tuple[int, int, int]], w: Field) -> list[t
         j = bisect_left(only_ends, a + 1)
         if best[i] == 0 or p[i, best[i]] < ADD_AT or (j < len(ends) and least_start[j] < b):
             continue
-        if out and last is not None and linked.get(i) == last and out[-1][1] == best[i] - 1:
+        rank = int(best[i]) - 1
+        joins = out and last is not None and linked.get(i) == last and out[-1][1] == rank
+        if joins and _joins(rank, text[out[-1][0] : out[-1][2]], text[a:b]):
             out[-1] = (out[-1][0], out[-1][1], b)
         else:
-            out.append((a, int(best[i]) - 1, b))
+            out.append((a, rank, b))
         last = i
     return out
 
@@ -337,11 +428,12 @@ def listed(spans: list[tuple[int, int, int]]) -> str:
 
 
 def find_pii(docs: DataFrame, text: str = "text", model: Field | None = None) -> DataFrame:
-    """docs without the text, with n_email, n_ip, n_card, n_phone, base_sha256, spans and n_added."""
+    """docs without the text, with n_email, n_ip, n_card, n_phone, base_sha256, spans,
+    n_added and n_spans, the number of all spans."""
     small_batches(docs.sparkSession)
-    made = [f"n_{k}" for k in KINDS] + ["base_sha256", "spans", "n_added"]
+    made = [f"n_{k}" for k in KINDS] + ["base_sha256", "spans", "n_added", "n_spans"]
     passed = [c for c in docs.columns if c != text and c not in made]
-    kinds = [T.LongType()] * 4 + [T.StringType(), T.StringType(), T.LongType()]
+    kinds = [T.LongType()] * 4 + [T.StringType(), T.StringType(), T.LongType(), T.LongType()]
     schema = T.StructType([docs.schema[c] for c in passed] + [T.StructField(n, t) for n, t in zip(made, kinds, strict=True)])
     w = model or train(hash_sample(docs, text, SAMPLE_DOCS, SAMPLE_CHARS))
 
@@ -353,10 +445,10 @@ def find_pii(docs: DataFrame, text: str = "text", model: Field | None = None) ->
                 base = base_spans(value)
                 added = added_spans(value, base, w) if _MARK.search(value) else []
                 counts = [sum(r == k for _, r, _ in base) for k in range(4)]
-                row = [*counts, hashlib.sha256(listed(base).encode()).hexdigest(), listed(base + added), len(added)]
+                row = [*counts, hashlib.sha256(listed(base).encode()).hexdigest(), listed(base + added), len(added), len(base) + len(added)]
                 for column, x in zip(out, row, strict=True):
                     column.append(x)
-            types = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.int64()]
+            types = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.int64(), pa.int64()]
             arrays = [batch.column(c) for c in passed] + [pa.array(v, t) for v, t in zip(out, types, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names=passed + made)
 

@@ -5,12 +5,15 @@ whole text. Bytes are embedded; FILTERS learned filters of WIDTH bytes slide ove
 STRIDE; each filter is rectified and max-pooled over the chunk. The chunks' vectors are combined
 by their mean and their maximum, and a logistic layer gives one probability.
 
-Training: at most SAMPLE_DOCS labelled documents of at most SAMPLE_BYTES bytes, whole texts,
+Texts are padded with spaces to whole half chunks, in training and in scoring alike; a blank text
+never goes through the network.
+
+Training: at most SAMPLE_DOCS labelled documents of at most SAMPLE_CHARS characters, whole texts,
 mini-batches, gradients through both poolings by hand. Scoring runs chunk blocks of bounded size
 through one matrix product each, so memory doesn't grow with a document.
 
-Defined results: null and empty texts are one chunk of padding and get the model's score for it;
-repeated rows are scored one by one; without any usable label every score is 0.5; other columns
+Defined results: null, empty and blank texts hold nothing of quality and score 0;
+repeated rows are scored one by one; without usable labels of both kinds every other score is 0.5; other columns
 pass through unless their names are those of the results."""
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import types as T
 from palimpsest.llm.common import slices, small_batches
 from palimpsest.llm.labelled import Adam, sigmoid
 
-SAMPLE_DOCS, SAMPLE_BYTES = 4000, 14_000_000
+SAMPLE_DOCS, SAMPLE_CHARS = 4000, 14_000_000
 EMBED, WIDTH, STRIDE, FILTERS = 8, 16, 8, 32
 HALF = 256
 CHUNK = 2 * HALF
@@ -79,57 +82,68 @@ class Network:
         return np.concatenate((chunks.mean(0), chunks.max(0)))
 
     def score(self, text: str) -> float:
+        if not text.strip():
+            return 0.0
         p = self.params
         v = (self.vector(_bytes(text)) - p["mean"]) / p["scale"]
         return float(sigmoid(float(v @ p["dense"] + p["bias"][0])))
 
     def _step(self, docs: list[np.ndarray], label: np.ndarray) -> dict[str, np.ndarray]:
-        """Gradients of the log loss over a batch. Max-pooling sends each back to one window."""
+        """Gradients of the log loss over a batch, whose documents go through the network end to
+        end. Max-pooling sends each gradient back to one window."""
         p = self.params
         split = STRIDE * EMBED
         grads = {k: np.zeros_like(p[k]) for k in ("embed", "filter", "shift", "dense", "bias")}
-        for b, y in zip(docs, label, strict=True):
-            rows = b.reshape(-1, STRIDE)
-            x = p["embed"][b].reshape(-1, split)
-            z = (x[:-1] @ p["filter"][:split] + x[1:] @ p["filter"][split:] + p["shift"]).reshape(-1, PER_HALF, FILTERS)
-            at = z.argmax(1)
-            h = np.maximum(np.take_along_axis(z, at[:, None], 1)[:, 0], 0)
-            later = h[1:] > h[:-1]
-            chunks = np.where(later, h[1:], h[:-1])
-            top = chunks.argmax(0)
-            v = (np.concatenate((chunks.mean(0), chunks.max(0))) - p["mean"]) / p["scale"]
-            miss = sigmoid(float(v @ p["dense"] + p["bias"][0])) - y
-            grads["dense"] += miss * v
-            grads["bias"] += miss
-            back = miss * p["dense"] / p["scale"]
-            to_chunk = np.repeat(back[None, :FILTERS] / len(chunks), len(chunks), 0)
-            to_chunk[top, np.arange(FILTERS)] += back[FILTERS:]
-            to_half = np.zeros_like(h)
-            to_half[1:] += to_chunk * later
-            to_half[:-1] += to_chunk * ~later
-            to_half *= h > 0
-            half, which = np.nonzero(to_half)
-            if not len(half):
-                continue
+        raw = np.concatenate(docs)
+        rows = raw.reshape(-1, STRIDE)
+        x = p["embed"][raw].reshape(-1, split)
+        n_halves = np.array([len(b) // HALF for b in docs])
+        last_half = np.cumsum(n_halves) - 1
+        # A document has a row more than windows; the window that begins there belongs to nobody.
+        row = np.arange(n_halves.sum() * PER_HALF) + np.repeat(np.arange(len(docs)), n_halves * PER_HALF)
+        z = (x[:-1] @ p["filter"][:split] + x[1:] @ p["filter"][split:] + p["shift"])[row]
+        z = z.reshape(-1, PER_HALF, FILTERS)
+        at = z.argmax(1)
+        h = np.maximum(np.take_along_axis(z, at[:, None], 1)[:, 0], 0)
+        first = np.delete(np.arange(len(h)), last_half)  # the first half of each chunk
+        later = h[first + 1] > h[first]
+        chunks = np.where(later, h[first + 1], h[first])
+        n_chunks = n_halves - 1
+        starts = np.cumsum(n_chunks) - n_chunks
+        mean = np.add.reduceat(chunks, starts) / n_chunks[:, None]
+        v = (np.concatenate((mean, np.maximum.reduceat(chunks, starts)), 1) - p["mean"]) / p["scale"]
+        miss = sigmoid(v @ p["dense"] + p["bias"][0]) - label
+        grads["dense"] += miss @ v
+        grads["bias"] += miss.sum()
+        back = miss[:, None] * p["dense"] / p["scale"]
+        to_chunk = np.repeat(back[:, :FILTERS] / n_chunks[:, None], n_chunks, 0)
+        for d, (start, n) in enumerate(zip(starts, n_chunks, strict=True)):
+            to_chunk[start + chunks[start : start + n].argmax(0), np.arange(FILTERS)] += back[d, FILTERS:]
+        to_half = np.zeros_like(h)
+        to_half[first + 1] += to_chunk * later
+        to_half[first] += to_chunk * ~later
+        to_half *= h > 0
+        half, which = np.nonzero(to_half)
+        if len(half):
             g = to_half[half, which]
-            window = half * PER_HALF + at[half, which]
+            window = row[half * PER_HALF + at[half, which]]
             grads["shift"] += np.bincount(which, g, FILTERS).astype(np.float32)
             # Windows come to each filter from many places: sum them by filter.
-            seen = np.concatenate((x[window], x[window + 1]), 1) * g[:, None]
             order = np.argsort(which, kind="stable")
-            starts = np.searchsorted(which[order], np.arange(FILTERS))
-            used = np.flatnonzero(np.bincount(which, minlength=FILTERS))
-            grads["filter"][:, used] += np.add.reduceat(seen[order], starts[used], 0).T
+            used, begins = np.unique(which[order], return_index=True)
+            for f, rows_of in zip(used, np.split(order, begins[1:]), strict=True):
+                grads["filter"][:split, f] += g[rows_of] @ x[window[rows_of]]
+                grads["filter"][split:, f] += g[rows_of] @ x[window[rows_of] + 1]
             to_bytes = (p["filter"].T[which] * g[:, None]).reshape(len(g), WIDTH, EMBED)
-            held = np.concatenate((rows[window], rows[window + 1]), 1)
+            held = np.concatenate((rows[window], rows[window + 1]), 1).ravel()
             for k in range(EMBED):
-                grads["embed"][:, k] += np.bincount(held.ravel(), to_bytes[:, :, k].ravel(), 256).astype(np.float32)
+                grads["embed"][:, k] += np.bincount(held, to_bytes[:, :, k].ravel(), 256).astype(np.float32)
         return {k: g / len(docs) for k, g in grads.items()}
 
     def fit(self, rows: list[tuple[str, int]], epochs: int = EPOCHS, rate: float = 3e-3, seed: int = 11) -> Network:
         rng = np.random.default_rng(seed)
         label = np.array([y for _, y in rows], np.float32)
-        raw = [self.vector(_bytes(text)) for text, _ in rows[:500]]
+        raw = [self.vector(_bytes(text)) for text, _ in rows]
         self.params["mean"] = np.mean(raw, 0).astype(np.float32)
         self.params["scale"] = (np.std(raw, 0) + 0.05).astype(np.float32)
         share = float(np.clip(label.mean(), 0.01, 0.99))
@@ -148,7 +162,8 @@ class Network:
 
 
 def train(rows: list[tuple[str, int]]) -> Network | None:
-    """A fitted network; None unless both labels occur."""
+    """A fitted network; None unless both labels occur among the texts that aren't blank."""
+    rows = [(text, y) for text, y in rows if text.strip()]
     return Network().fit(rows) if len({y for _, y in rows}) > 1 else None
 
 
@@ -160,7 +175,7 @@ def score_quality(docs: DataFrame, model: Network | None, text: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            scores = [0.5 if model is None else model.score(x or "") for x in batch.column(text).to_pylist()]
+            scores = [(0.5 if (x or "").strip() else 0.0) if model is None else model.score(x or "") for x in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in passed] + [pa.array(scores, pa.float64())], names=[*passed, "score"])
 
     return docs.select(*passed, docs[text].cast("string").alias(text)).mapInArrow(run, schema)

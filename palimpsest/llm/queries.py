@@ -16,7 +16,7 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     held_out = remainder("doc_id", 4) == 2
-    model = q.train(training_rows(docs, labels, "quality", ~held_out, q.SAMPLE_DOCS, q.SAMPLE_BYTES))
+    model = q.train(training_rows(docs, labels, "quality", ~held_out, q.SAMPLE_DOCS, q.SAMPLE_CHARS))
     scored = q.score_quality(docs, model)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 

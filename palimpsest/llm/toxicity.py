@@ -32,7 +32,7 @@ from palimpsest.llm.common import slices, small_batches
 from palimpsest.llm.labelled import Adam, sigmoid
 
 SAMPLE_DOCS, SAMPLE_CHARS = 8000, 20_000_000
-MIN_DOCUMENTS, MIN_DEVIATION = 4, 5.0
+MIN_DOCUMENTS, MIN_DEVIATION = 3, 3.0
 PREFIXES = (4, 5, 6)
 #: Share of the features left out of a training step.
 DROPPED = 0.3
@@ -90,7 +90,7 @@ class Model:
             clean += math.log1p(-min(p, 1 - 1e-12))
             if p >= OFFENDS:
                 offending.append((start, end, p))
-        return float(-np.expm1(clean)), offending
+        return float(-np.expm1(clean)) + 0.0, offending  # no sentence: 0 and not -0
 
 
 def train(rows: list[tuple[str, int]], steps: int = 800, rate: float = 0.1, decay: float = 5e-6) -> Model:

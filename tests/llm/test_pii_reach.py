@@ -39,3 +39,69 @@ def test_long_tokens_count_whole():
     a = "a1" + "x" * 500
     assert P.graph(f"{a}y word {a}z").skip == [] and P.graph(f"{a}y word {a}y").skip == [(0, 1)]
     assert P._INDEX["equals"] in P.graph(f"{a}=").unary[0] or P._INDEX["equals"] in P.graph(f"{a}=b").unary[0]
+
+
+def test_similar_names_of_any_length():
+    long = "1234567890" * 8
+    assert P.graph(f"{long}1 word {long}2 word {long[:-1]}").skip == [(0, 1)]
+    assert P.graph("1234567 word 1234568").skip == [(0, 1)] and P.graph("12345 word 12346").skip == []
+    variants = [f"{i:012d}" for i in range(100)]  # each is linked to all before it but for one digit
+    edges = set(P.graph(" word ".join(variants)).skip)
+    differ = lambda a, b: sum(x != y for x, y in zip(a, b)) == 1
+    linked = {(i, k) for k in range(100) for i in range(k) if differ(variants[i], variants[k])}
+    assert edges <= linked
+    # Edges go to the last holder of each pattern; along them all similar names hang together.
+    assert {k for _, k in edges} == set(range(1, 100))
+
+
+def test_hints_behind_many_blanks():
+    g = P.graph("card" + " " * 100 + "4111111111111112" + "\n" * 60 + "server")
+    assert P._INDEX["before_card"] in g.unary[0] and P._INDEX["after_ip"] in g.unary[0]
+
+
+def test_whole_neighbours_are_spans_of_their_own():
+    w = P.Field(np.zeros((len(P._NAMES), K)), np.zeros((K, K)), np.zeros((K, K)))
+    w.unary[P._INDEX["bias"], 3] = 9.0
+    spans = lambda t: [(t[a:b]) for a, _, b in P.added_spans(t, [], w)]
+    assert spans("4465758382889437 4465758382889437") == ["4465758382889437"] * 2
+    assert spans("4465 7583 8288 9438 4465") == ["4465 7583 8288 9438", "4465"]
+
+
+def test_a_hundred_similar_tokens_and_a_long_one():
+    text = " word ".join(["a@" + "x" * 10_000, *(f"55000000{i:08d}" for i in range(100)), "9" * 10_000])
+    g = P.graph(text)
+    assert len(g.spans) == 102 and len(g.skip) >= 99
+    w = P.train([text, "write to a@b.org or 4111 1111 1111 1111"])
+    p = w.marginals(g)
+    assert p.shape == (102, K) and np.allclose(p.sum(1), 1)
+
+
+def _planted(n, seed, spoil=True):
+    """Texts with a card that stands alone once, and twice where digits behind it spoil the pattern's
+    match; and with a decoy, a number of sixteen digits that is no card. (text, spans to be added)"""
+    import random
+
+    rng = random.Random(seed)
+    number = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    words = lambda k: "so " + " ".join(rng.choice(["amber", "river", "stone", "cloud", "7", "1998", "room 12", "version 3.2"]) for _ in range(k)) + " so"
+    out = []
+    for _ in range(n):
+        card = number(15)
+        card += next(d for d in "0123456789" if P.luhn(card + d))
+        decoy = next(x for x in iter(lambda: number(16), "") if not P.luhn(x))
+        spoiled = next(x for x in (f"{card} {number(3)}" for _ in range(99)) if not P.base_spans(x)) if spoil else f"{card}, {number(3)}"
+        text = f"{words(8)} card {card} {words(12)} {spoiled} {words(9)} {decoy} {words(5)} {spoiled} or a{rng.randrange(999)}@b.org {words(4)}"
+        out.append((text, [(i, i + 16) for i in range(len(text)) if text.startswith(spoiled, i)]))
+    return out
+
+
+def test_recall_and_precision_of_the_added_spans():
+    w = P.train([t for t, _ in _planted(300, 1, spoil=False)])
+    found = right = wanted = 0
+    for text, missed in _planted(200, 2):
+        got = {(a, b) for a, _, b in P.added_spans(text, P.base_spans(text), w)}
+        found += len(got)
+        right += len(got & set(missed))
+        wanted += len(missed)
+    print(found, right, wanted)
+    assert right >= 0.9 * wanted and right >= 0.9 * found
