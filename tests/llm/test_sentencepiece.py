@@ -38,3 +38,26 @@ def test_odd_rows(spark):
     out = S.encode(docs, ids=True).collect()
     assert sorted(r.n_tokens for r in out) == [0, 0, 2, 2] and all(len(r.ids) == r.n_tokens for r in out)
     assert S.encode(docs.limit(0)).count() == 0
+
+
+def test_blocks_and_pieces(monkeypatch):
+    """Whole blocks in Arrow, and texts cut into pieces of a few characters, give the library's ids."""
+    monkeypatch.setattr(S, "PIECE", 9)
+    monkeypatch.setattr(S, "BLOCK", 60)
+    t = S.ChunkTable(S.tokenizer_path("piece_bpe_32k.model"), table_rows=40, long_chunk=6)
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab  ▁é\nthe. ing😀ß日") for _ in range(rng.randrange(60))) for _ in range(4000)] + ["", " ", "a" * 40, "a b" * 30]
+    for ids in (False, True):
+        for text, (n, numbers, words, kept) in zip(texts, t.digests(texts, ids), strict=True):
+            want = t.model.encode(text)
+            assert n == len(want) and numbers == hashlib.sha256(",".join(map(str, want)).encode()).hexdigest(), repr(text)
+            assert words == hashlib.sha256(t.model.decode(want).encode()).hexdigest()
+            assert kept is None if not ids else kept.tolist() == want
+
+
+def test_a_very_long_text(spark):
+    long = "some words of a text  with spaces " * 100_000
+    docs = spark.createDataFrame([(1, long), (2, long.replace("  ", " ").strip())], "doc_id long, text string")
+    sp = S.ChunkTable(S.tokenizer_path("piece_bpe_32k.model")).model
+    for r, text in zip(S.encode(docs, ids=True, decoded=True).orderBy("doc_id").collect(), (long, long.replace("  ", " ").strip())):
+        assert r.ids == sp.encode(text) and r.n_tokens == len(r.ids) and r.decoded == sp.decode(r.ids)
