@@ -39,7 +39,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return encode(docs, ids=True).drop("decoded")
+    return encode(docs, ids=True)
 
 
 STAGES = [
