@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -36,8 +37,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Paths of the tables that written() has made and nobody has deleted yet.
-_MADE: list[str] = []
+class _Made(threading.local):
+    """Paths of the tables that written() has made in this thread and nobody has deleted yet."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_MADE = _Made()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -48,7 +55,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _MADE.append(path)
+    _MADE.paths.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.table_path = path
     return out
@@ -62,34 +69,38 @@ def _delete(spark: SparkSession, path: str) -> None:
 def discard(df: DataFrame | None) -> None:
     """Delete a table of written() that no later step reads."""
     path = getattr(df, "table_path", None)
-    if path in _MADE:
-        _MADE.remove(path)
+    if path in _MADE.paths:
+        _MADE.paths.remove(path)
         _delete(df.sparkSession, path)
 
 
 def made_so_far() -> list[str]:
-    return list(_MADE)
+    return list(_MADE.paths)
 
 
 def sweep(spark: SparkSession, keep: list[str]) -> None:
-    """Delete the tables of this process that are not among `keep`: no result may read them."""
-    for path in [x for x in _MADE if x not in keep]:
-        _MADE.remove(path)
+    """Delete the tables of this thread that are not among `keep`: no result may read them."""
+    for path in [x for x in _MADE.paths if x not in keep]:
+        _MADE.paths.remove(path)
         _delete(spark, path)
 
 
-#: Keys of the most rows that meet() broadcasts.
-HOT_KEYS = 4096
+#: Keys with the most rows that meet() broadcasts, and the rows from which a key is worth it.
+HOT_KEYS, HOT_ROWS = 4096, 1000
 
 
-def meet(rows: DataFrame, keyed: DataFrame, on: list[str], often: str) -> DataFrame:
+def meet(rows: DataFrame, keyed: DataFrame, on: list[str], often: str, hot_keys: int | None = None) -> DataFrame:
     """Inner join of rows to a written table `keyed`, whose keys `on` are distinct and whose column
     `often` says how many rows have the key.
 
     The HOT_KEYS keys with the most rows are broadcast, a bounded number whatever the input, so the
     rows of a hot key stay where they are. Any other key has at most one in HOT_KEYS of the rows and
-    goes by shuffle."""
-    hot = written(keyed.orderBy(F.desc(often), *on).limit(HOT_KEYS), "hot")
+    goes by shuffle. Where no key has HOT_ROWS rows, all go by shuffle."""
+    most = keyed.agg(F.max(often)).first()[0]
+    if most is None or most < HOT_ROWS:
+        return rows.join(keyed, on)
+    top = keyed.filter(F.col(often) >= HOT_ROWS).orderBy(F.desc(often), *on)
+    hot = written(top.limit(HOT_KEYS if hot_keys is None else hot_keys), "hot")
     keys = F.broadcast(hot.select(*on))
     by_shuffle = rows.join(keys, on, "left_anti").join(keyed.join(keys, on, "left_anti"), on)
     return rows.join(F.broadcast(hot), on).unionByName(by_shuffle)

@@ -15,7 +15,10 @@ other; the links found are contracted, and buckets that still hold several compo
 other centres, until no bucket holds two nodes of different components that haven't met.
 So the components are those of all candidate pairs, and a group of thousands of copies costs about
 one comparison each. Pairs whose sizes alone exclude the threshold are not compared; every other
-comparison is exact, over the shingles of the two texts.
+comparison is exact, over the sorted shingle hashes of the two texts, which are made once. A
+bucket may hold a great share of all nodes: what is known of the largest buckets is broadcast, a
+fixed number of them, so that no task gets all nodes of one; and the shingles of a centre go to at
+most SPREAD tasks, however many nodes it is compared with.
 
 Buckets that are still open after BAND_ROUNDS hold documents that share a long passage and little
 else. Their nodes move to a second, exact set of buckets: the prefix filter. Each node's elements
@@ -24,34 +27,37 @@ kept as keys, with their places; two sets that reach the threshold share one of
 passage is never among them. A shared key at places i and j leaves at most
 min(n - i, m - j) + 1 elements to share, so keys that come too late for the threshold make no pair:
 copies with many edits have their own rare elements first and meet nobody. The rounds go on over
-these buckets, with more centres each time.
+these buckets, with more centres each time, as long as a bucket is open.
 
 With 25 bands of 6 rows, a pair of similarity 0.8 meets with probability 0.9995.
 
 Defined results: words are cut at white space and lower-cased; a text of one to four words is one
 shingle; all texts without words, null ones included, form one class; rows that share an id count
-as one document; rows without an id get no class (null) and are kept; ties between ids cannot
-occur, as the least id names a class; other columns are not read."""
+as one document, whose least text speaks for it; rows without an id get no class (null) and are
+kept; ties between ids cannot occur, as the least id names a class; other columns are not read."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import discard, slices, small_batches, written
+from palimpsest.llm.common import discard, made_so_far, meet, slices, small_batches, sweep, written
 from palimpsest.llm.graph import components
 
 SHINGLE = 5
 BANDS, ROWS = 25, 6
 #: Rounds over the bands' buckets, one centre each, before the prefix filter takes over; its rounds
-#: begin with so many centres and multiply by it.
-BAND_ROUNDS, PREFIX_CENTRES = 2, 64
+#: begin with so many centres, and multiply them.
+BAND_ROUNDS, PREFIX_CENTRES, MORE_CENTRES = 2, 64, 4
+#: Tasks at most that a centre's shingles go to.
+SPREAD = 64
+#: Centres at most of the buckets that are broadcast.
+HOT_CENTRES = 4096
 THRESHOLD = 0.8
 
 U = np.uint64
@@ -190,79 +196,55 @@ def signatures(
     return rows_in.mapInArrow(run, "id long, f1 long, f2 long, n int, bands array<long>")
 
 
-@lru_cache(64)
-def _cached_shingles(text: str) -> np.ndarray:
-    return shingles(text)[0]
-
-
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float, weighting: str) -> DataFrame:
-    """Of pairs (u, v) of ids in texts (id, text), those with an exact similarity of `threshold` or
-    more, with it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            score = []
-            for a, b in zip(batch.column("text_u").to_pylist(), batch.column("text_v").to_pylist(), strict=True):
-                if weighting == "count":
-                    (x, p), (y, q) = shingles(a), shingles(b)
-                    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-                    least = float(np.minimum(p[i], q[j]).sum())
-                    score.append(least / max(1.0, float(p.sum() + q.sum()) - least))
-                else:
-                    x, y = shingles(a)[0], _cached_shingles(b or "")
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    score.append(both / max(1, len(x) + len(y) - both))
-            score = np.array(score)
-            hit = pa.array(score >= threshold - 1e-12)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("u").filter(hit), batch.column("v").filter(hit), pa.array(score).filter(hit)],
-                names=["u", "v", "similarity"],
-            )
-
-    with_v = pairs.join(texts.select(F.col("id").alias("v"), F.col("text").alias("text_v")), "v")
-    with_u = with_v.join(texts.select(F.col("id").alias("u"), F.col("text").alias("text_u")), "u")
-    return with_u.select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long, similarity double")
-
-
-def prefix_members(texts: DataFrame, threshold: float, weighting: str) -> DataFrame:
-    """The prefix filter's buckets: (bucket, node) for each node's rarest elements. With weights,
-    the second and later occurrences of a shingle count as elements of their own."""
+def shingle_sets(texts: DataFrame, weighting: str = "set") -> DataFrame:
+    """(node, size, elements) of (id, text): the sorted shingle hashes. With weights the second and
+    later occurrences of a shingle are elements of their own, so that the plain Jaccard similarity
+    of two sets of elements is the weighted one of the shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
-            ids, sets = batch.column(0).to_pylist(), []
+            sets = []
             for value in batch.column(1).to_pylist():
                 found, count = shingles(value)
                 if weighting == "count":
                     times = count.astype(np.int64)
                     nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                    found = mix(np.repeat(found, times) + nth.astype(U) * U(_GOLD))
-                sets.append(found)
-            sizes = [len(x) for x in sets]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(np.array(ids, np.int64), sizes)),
-                    pa.array(np.repeat(sizes, sizes).astype(np.int32)),
-                    pa.array(_signed(np.concatenate(sets)) if sets else np.zeros(0, np.int64)),
-                ],
-                names=["node", "size", "bucket"],
-            )
-
-    elements = written(texts.mapInArrow(run, "node long, size int, bucket long"), "elements")
-    shared = elements.groupBy("bucket").agg(F.count("*").alias("often"))
+                    found = np.sort(mix(np.repeat(found, times) + nth.astype(U) * U(_GOLD)))
+                sets.append(_signed(found))
+            sizes = pa.array([len(x) for x in sets], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(sets, pa.list_(pa.int64()))], names=["node", "size", "elements"])
+
+    return texts.select("id", "text").mapInArrow(run, "node long, size int, elements array<long>")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Of a written table of pairs (u, v) of nodes, those whose sets have an exact similarity of
+    `threshold` or more, with it. The set of v goes to at most SPREAD tasks, not to every pair."""
+    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("u"), F.lit(SPREAD)))
+    of = lambda x: sets.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("elements").alias(f"set_{x}"))
+    centres = dealt.select("v", "salt").distinct().join(of("v"), "v")
+    both = dealt.join(of("u"), "u").join(centres, ["v", "salt"])
+    both = both.withColumn("shared", F.size(F.array_intersect("set_u", "set_v")))
+    similarity = F.col("shared") / (F.col("size_u") + F.col("size_v") - F.col("shared"))
+    return both.select("u", "v", similarity.alias("similarity")).filter(F.col("similarity") >= threshold - 1e-12)
+
+
+def prefix_members(sets: DataFrame, threshold: float) -> DataFrame:
+    """The prefix filter's buckets: (bucket, node, nth) for each node's rarest elements."""
+    elements = sets.select("node", "size", F.explode("elements").alias("bucket"))
+    shared = written(elements.groupBy("bucket").agg(F.count("*").alias("often")), "shared")
     order = Window.partitionBy("node").orderBy("often", "bucket")
-    ranked = elements.join(shared, "bucket").withColumn("nth", F.row_number().over(order))
+    ranked = meet(elements, shared, ["bucket"], "often").withColumn("nth", F.row_number().over(order))
     size = F.col("size")
-    kept = written(
-        ranked.filter((F.col("nth") <= size - F.ceil(size * threshold - 1e-9) + 1) & (F.col("often") > 1)).select("bucket", "node", "nth", "size"), "prefixes"
-    )
-    discard(elements)
+    held = (F.col("nth") <= size - F.ceil(size * threshold - 1e-9) + 1) & (F.col("often") > 1)
+    kept = written(ranked.filter(held).select("bucket", "node", "nth", "size"), "prefixes")
     # Not even the smallest partner of the bucket could share enough with a key at this place.
-    least = kept.groupBy("bucket").agg(F.min("size").alias("least"))
+    least = written(kept.groupBy("bucket").agg(F.min("size").alias("least"), F.count("*").alias("often")), "least")
     partner = F.greatest(F.col("least"), F.ceil(size * threshold - 1e-9))
     able = size - F.col("nth") + 1 >= (size + partner) * (threshold / (1 + threshold)) - 1e-9
-    out = written(kept.join(least, "bucket").filter(able).select("bucket", "node", "nth"), "prefixes")
-    discard(kept)
+    out = written(meet(kept, least, ["bucket"], "often").filter(able).select("bucket", "node", "nth"), "prefixes")
+    for done in (shared, kept, least):
+        discard(done)
     return out
 
 
@@ -275,76 +257,87 @@ def near_duplicates(
     rows: int = ROWS,
     weighting: str = "set",
 ) -> DataFrame:
-    """A row for each row of docs: the id and class_id, the least id of its near-duplicate class."""
+    """A row for each row of docs: the id, class_id, the least id of its near-duplicate class, and
+    class_size, the rows of that class."""
+    before = made_so_far()
     signed = written(signatures(docs, text, row_id, bands, rows, weighting), "signatures")
     key = ["f1", "f2", "n"]
-    nodes = written(
-        signed.filter("id is not null").groupBy(*key).agg(F.min("id").alias("node"), F.first("bands").alias("bands")), "nodes"
-    )
-    sizes = nodes.select("node", F.col("n").alias("size"))
-    texts = docs.select(docs[row_id].cast("long").alias("id"), docs[text].cast("string").alias("text"))
+    alike = signed.filter("id is not null").groupBy(*key)
+    nodes = written(alike.agg(F.min("id").alias("node"), F.first("bands").alias("bands"), F.count("*").alias("copies")), "nodes")
+    texts = docs.select(docs[row_id].cast("long").alias("id"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
     members = nodes.filter("n > 0").select(F.explode("bands").alias("bucket"), "node", F.lit(None).cast("int").alias("nth"))
     labels: DataFrame | None = None
     now: DataFrame | None = None
-    prefixes: DataFrame | None = None
+    sets: DataFrame | None = None
     centres, rounds = 1, 0
     enough = (F.col("size") + F.col("centre_size")) * (threshold / (1 + threshold)) - 1e-9
     places = F.least(F.col("size") - F.col("nth"), F.col("centre_size") - F.col("centre_nth")) + 1 >= enough
+    parts = ("node", "component", "size", "nth")
     while True:
         if labels is None:
             seen = members.withColumn("component", F.col("node"))
         else:
             seen = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        several = seen.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b")
-        last, now = now, written(seen.join(several.select("bucket"), "bucket").select("bucket", "node", "nth", "component"), "open")
+        several = seen.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("often"))
+        several = written(several.filter("a <> b").select("bucket", "often"), "several")
+        last, now = now, written(meet(seen, several, ["bucket"], "often").select("bucket", "node", "nth", "component", "often"), "open")
         discard(last)
+        discard(several)
         if now.isEmpty():
-            break  # nothing below reads the open members, their texts or the prefixes again
+            break
         if rounds in (0, BAND_ROUNDS):
-            open_texts = texts.join(now.select(F.col("node").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
-            last, texts = texts, written(open_texts, "texts")
+            still = now.select(F.col("node").alias("id")).distinct()
+            if sets is None:
+                found = shingle_sets(texts.join(still, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), weighting)
+            else:
+                found = sets.join(still.withColumnRenamed("id", "node"), "node", "left_semi")
+            last, sets = sets, written(found, "sets")
             discard(last)
         if rounds == BAND_ROUNDS:
-            members = prefixes = prefix_members(texts, threshold, weighting)
+            members = prefix_members(sets, threshold)
             centres, rounds = PREFIX_CENTRES, rounds + 1
             continue
-        sized = now.join(sizes, "node")
-        chosen = sized.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(centres)).alias("share")).agg(
-            F.min_by(F.struct("node", "component", "size", "nth"), "node").alias("c")
-        )
-        chosen = chosen.select("bucket", *[F.col(f"c.{x}").alias(f"centre_{x}") for x in ("node", "component", "size", "nth")])
-        pairs = (
-            sized.join(chosen, "bucket")
-            .filter("component <> centre_component")
-            .filter(F.least("size", "centre_size") >= F.greatest("size", "centre_size") * threshold - 1e-9)
-            .filter(F.coalesce(places, F.lit(True)))
-            .select(F.greatest("node", "centre_node").alias("u"), F.least("node", "centre_node").alias("v"))
-            .distinct()
-        )
-        known = verified(pairs, texts, threshold, weighting).select("u", "v")
+        sized = now.join(sets.select("node", "size"), "node")
+        share = F.pmod(F.xxhash64("node"), F.lit(centres)).alias("share")
+        chosen = sized.groupBy("bucket", share).agg(F.min_by(F.struct(*parts), "node").alias("c"), F.max("often").alias("often"))
+        packed = written(chosen.groupBy("bucket").agg(F.collect_list("c").alias("centres"), F.max("often").alias("often")), "centres")
+        met = meet(sized.drop("often"), packed, ["bucket"], "often", max(1, HOT_CENTRES // centres))
+        met = met.select("bucket", *parts, F.explode("centres").alias("c"))
+        met = met.select(*parts, *[F.col(f"c.{x}").alias(f"centre_{x}") for x in parts]).filter("component <> centre_component")
+        near = met.filter(F.least("size", "centre_size") >= F.greatest("size", "centre_size") * threshold - 1e-9).filter(F.coalesce(places, F.lit(True)))
+        pairs = near.select(F.greatest("node", "centre_node").alias("u"), F.least("node", "centre_node").alias("v")).distinct()
+        pairs = written(pairs, "pairs")
+        known = verified(pairs, sets, threshold).select("u", "v")
         if labels is not None:
             known = known.unionByName(labels.select(F.col("node").alias("u"), F.col("component").alias("v")))
         last, labels = labels, components(known)
         discard(last)
-        members = now.select("bucket", "node", "nth").join(
-            chosen.select("bucket", F.col("centre_node").alias("node")), ["bucket", "node"], "left_anti"
-        )
-        centres, rounds = centres * (PREFIX_CENTRES if rounds > BAND_ROUNDS else 1), rounds + 1
-    for done in (now, texts, prefixes):
-        discard(done)
-    found = nodes.select(*key, "node")
+        gone = packed.select("bucket", F.explode("centres.node").alias("node"))
+        last, members = members, written(now.select("bucket", "node", "nth").join(gone, ["bucket", "node"], "left_anti"), "members")
+        discard(last)
+        discard(pairs)
+        discard(packed)
+        centres, rounds = centres * (MORE_CENTRES if rounds > BAND_ROUNDS else 1), rounds + 1
+    classes = nodes.select(*key, "node", "copies")
     if labels is not None:
-        found = found.join(labels, "node", "left").select(*key, F.coalesce("component", "node").alias("class_id"))
+        classes = classes.join(labels, "node", "left").select(*key, F.coalesce("component", "node").alias("class_id"), "copies")
     else:
-        found = found.withColumnRenamed("node", "class_id")
-    return signed.select("id", *key).join(found, key, "left").select(
-        F.col("id").alias(row_id), F.when(F.col("id").isNotNull(), F.col("class_id")).alias("class_id")
-    )
+        classes = classes.withColumnRenamed("node", "class_id")
+    classes = written(classes, "classes")
+    counted = written(classes.groupBy("class_id").agg(F.sum("copies").alias("class_size"), F.count("*").alias("often")), "counted")
+    whole = written(meet(classes, counted, ["class_id"], "often").select(*key, "copies", "class_id", "class_size"), "classes")
+    out = written(meet(signed.filter("id is not null").select("id", *key), whole, key, "copies").select("id", "class_id", "class_size"), "near-duplicates")
+    nameless = signed.filter("id is null").select("id", F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("class_size"))
+    out_path, signed_path = out.table_path, signed.table_path
+    sweep(docs.sparkSession, [*before, out_path, signed_path])
+    return out.unionByName(nameless).withColumnRenamed("id", row_id)
 
 
 def one_of_each(docs: DataFrame, text: str = "text", row_id: str = "doc_id", **options) -> DataFrame:
-    """One document of each near-duplicate class, that with the least id; of rows that share an id,
-    one. Rows without an id stay."""
+    """One document of each near-duplicate class, that with the least id; of rows that share an id
+    the one with the least text, and of those the least by a hash of the whole row. Rows without an
+    id stay."""
     least = near_duplicates(docs, text, row_id, **options).filter(F.col(row_id) == F.col("class_id")).select(row_id).distinct()
-    kept = docs.join(least, row_id, "left_semi").dropDuplicates([row_id]).select(docs.columns)
-    return kept.unionByName(docs.filter(F.col(row_id).isNull()))
+    order = F.struct(F.coalesce(F.col(text), F.lit("")), F.xxhash64(F.to_json(F.struct(*[F.col(c) for c in docs.columns if c != text]))))
+    kept = docs.join(least, row_id, "left_semi").groupBy(F.col(row_id).alias("_kept_id")).agg(F.min_by(F.struct(*docs.columns), order).alias("_kept"))
+    return kept.select("_kept.*").unionByName(docs.filter(F.col(row_id).isNull()))

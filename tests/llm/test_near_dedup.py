@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 
+from palimpsest.llm import common
 from palimpsest.llm import near_dedup as N
 from palimpsest.llm.graph import components
 
@@ -108,7 +109,7 @@ def test_prefix_filter_takes_over(spark):
     check(spark, rows)
     for weighting in ("set", "count"):
         docs = spark.createDataFrame(rows, "doc_id long, text string")
-        buckets = N.prefix_members(docs.selectExpr("doc_id AS id", "text"), 0.8, weighting)
+        buckets = N.prefix_members(common.written(N.shingle_sets(docs.selectExpr("doc_id AS id", "text"), weighting), "sets"), 0.8)
         met = {tuple(sorted((a, b))) for ns in buckets.groupBy("bucket").agg({"node": "collect_list"}).collect() for a in ns[1] for b in ns[1] if a != b}
         assert {(i, 1000 + i) for i in range(0, 120, 10)} <= met
 
@@ -130,3 +131,54 @@ def test_weighted_classes(spark):
     assert got == {1: 1, 2: 2, 3: 1, 4: 1, 5: 5}
     plain = {r.doc_id: r.class_id for r in N.near_duplicates(docs).collect()}
     assert plain == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5}
+
+
+def test_hot_buckets_are_split(spark, monkeypatch):
+    """With every bucket of two nodes or more treated as hot, and few of them broadcast, the classes
+    are the same."""
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    monkeypatch.setattr(common, "HOT_KEYS", 3)
+    rng = random.Random(6)
+    base, passage = [f"w{i}" for i in range(100)], [f"p{i}" for i in range(90)]
+    rows = [(i, edited(base, 1 + i % 3, rng)) for i in range(60)] + [(100 + i, " ".join(base)) for i in range(40)]
+    rows += [(200 + i, " ".join(passage + [f"t{i}_{j}" for j in range(40)])) for i in range(60)] + [(300, edited(base[:50], 30, rng))]
+    check(spark, rows)
+
+
+def test_ids_that_stand_for_several_texts(spark):
+    words = [f"w{i}" for i in range(40)]
+    a, b, c = " ".join(words), " ".join(reversed(words)), " ".join(words[20:] + words[:20])
+    rows = [(1, b), (1, a), (2, a), (3, b), (4, c), (4, c), (4, None), (None, a)]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame([(i, t, k % 2) for k, (i, t) in enumerate(order)], "doc_id long, text string, n int")
+        out = N.near_duplicates(docs).collect()
+        got = {(r.doc_id, r.class_id, r.class_size) for r in out}
+        assert len(out) == len(rows) and got == {(1, 1, 4), (2, 1, 4), (3, 1, 4), (4, 4, 3), (None, None, None)}
+        kept = sorted((str(r.doc_id), r.text) for r in N.one_of_each(docs).collect())
+        assert kept == [("1", min(a, b)), ("4", None), ("None", a)]
+
+
+def test_recall_against_all_pairs(spark):
+    """Every pair of 0.8 or more between the rows whose id is divisible by 50 and all rows."""
+    sf = "/root/testdata/sf0.1"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    sets = {i: shingle_set(t) for i, t in rows}
+    holders: dict = {}
+    queries = [i for i in sets if i % 50 == 0]
+    wanted = {s for i in queries for s in sets[i]}
+    for i, s in sets.items():
+        for x in s & wanted:
+            holders.setdefault(x, []).append(i)
+    classes = {r.doc_id: r.class_id for r in N.near_duplicates(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    pairs = found = 0
+    for i in queries:
+        shared: dict = {}
+        for x in sets[i]:
+            for j in holders[x]:
+                shared[j] = shared.get(j, 0) + 1
+        for j, n in shared.items():
+            if j != i and n >= 0.8 * (len(sets[i]) + len(sets[j]) - n) - 1e-12:
+                pairs += 1
+                found += classes[i] == classes[j]
+    print("recall", found, pairs)
+    assert pairs > 50 and found >= 0.99 * pairs

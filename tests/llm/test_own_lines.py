@@ -47,6 +47,7 @@ def test_names_that_clash_and_hot_lines(spark, monkeypatch):
     from palimpsest.llm import common
 
     monkeypatch.setattr(common, "HOT_KEYS", 2)
+    monkeypatch.setattr(common, "HOT_ROWS", 1)
     rows = [(i, "\n".join([f"own {i}", *["everywhere"] * (i % 3), f"line {i % 4}", "on five" if i < 5 else "on one"]), f"s{i % 7}", i) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _wide long")
     docs = docs.withColumn("__k1", F.col("_wide"))
