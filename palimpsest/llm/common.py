@@ -89,8 +89,8 @@ def sweep(spark: SparkSession, keep: list[str]) -> None:
 HOT_KEYS, HOT_ROWS = 4096, 1000
 
 
-def meet(rows: DataFrame, keyed: DataFrame, on: list[str], often: str, hot_keys: int | None = None) -> DataFrame:
-    """Inner join of rows to a written table `keyed`, whose keys `on` are distinct and whose column
+def meet(rows: DataFrame, keyed: DataFrame, on: list[str], often: str, hot_keys: int | None = None, how: str = "inner") -> DataFrame:
+    """Inner or left join of rows to a written table `keyed`, whose keys `on` are distinct and whose column
     `often` says how many rows have the key.
 
     The HOT_KEYS keys with the most rows are broadcast, a bounded number whatever the input, so the
@@ -98,11 +98,11 @@ def meet(rows: DataFrame, keyed: DataFrame, on: list[str], often: str, hot_keys:
     goes by shuffle. Where no key has HOT_ROWS rows, all go by shuffle."""
     most = keyed.agg(F.max(often)).first()[0]
     if most is None or most < HOT_ROWS:
-        return rows.join(keyed, on)
+        return rows.join(keyed, on, how)
     top = keyed.filter(F.col(often) >= HOT_ROWS).orderBy(F.desc(often), *on)
     hot = written(top.limit(HOT_KEYS if hot_keys is None else hot_keys), "hot")
     keys = F.broadcast(hot.select(*on))
-    by_shuffle = rows.join(keys, on, "left_anti").join(keyed.join(keys, on, "left_anti"), on)
+    by_shuffle = rows.join(keys, on, "left_anti").join(keyed.join(keys, on, "left_anti"), on, how)
     return rows.join(F.broadcast(hot), on).unionByName(by_shuffle)
 
 

@@ -13,7 +13,9 @@ No occurrence within the edit budget can be missed: each step only drops what ca
 
 The benchmark is the query set. It is read in blocks of at most `block_chars` characters; each
 block goes to the tasks and meets all documents, so what is shipped is bounded however large the
-benchmark is, at one pass over the documents for each block. Documents are never shuffled.
+benchmark is. After BLOCKS_A_PLAN blocks the result so far is written, so neither the plan nor what
+it carries grows with the benchmark, of which the driver holds so many blocks at most. Documents
+are never shuffled.
 
 Texts are compared in lower case with white space collapsed; offsets are those of the text itself.
 
@@ -31,11 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import slices, small_batches
+from palimpsest.llm.common import slices, small_batches, written
 
 Q = 10
 MAX_EDIT_SHARE = 0.08
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS, BLOCKS_A_PLAN = 2_000_000, 4
 _BITS = 22
 _MULT = 0x9E3779B97F4A7C15
 
@@ -257,8 +259,10 @@ def decontaminated(
 
         return run
 
-    for block in blocks(benchmark, item_text, item_id, block_chars):
+    for k, block in enumerate(blocks(benchmark, item_text, item_id, block_chars), 1):
         docs = docs.mapInArrow(dropper(block), docs.schema)
+        if k % BLOCKS_A_PLAN == 0:
+            docs = written(docs, "clean")
     return docs
 
 
@@ -300,7 +304,9 @@ def contaminated(
         return run
 
     found = None
-    for block in blocks(benchmark, item_text, item_id, block_chars):
+    for k, block in enumerate(blocks(benchmark, item_text, item_id, block_chars), 1):
         part = rows.mapInArrow(finder(block), SCHEMA)
         found = part if found is None else found.unionByName(part)
+        if k % BLOCKS_A_PLAN == 0:
+            found = written(found, "found")
     return docs.sparkSession.createDataFrame([], SCHEMA) if found is None else found

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import small_batches
+from palimpsest.llm.common import meet, small_batches, written
 
 #: Fixed values of the formats.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -46,7 +46,8 @@ MIN_REVISIT = 100
 ARCHIVE_BYTES = 8 << 20
 DICTIONARY_BYTES = 32 << 10
 SAMPLES, SAMPLE_BYTES = 128, 8 << 10
-MAX_RECORD = 1 << 30
+#: Bytes of a record that are read at most: more than a Spark value with its headers can have.
+MAX_RECORD = (1 << 31) + (1 << 20)
 URN = "urn:palimpsest:page:"
 
 
@@ -199,7 +200,8 @@ def parse_archive(content: bytes) -> Iterator[dict]:
 
 def planned(pages: DataFrame, page_id: str = "page_id", payload: str = "html", url: str = "url") -> DataFrame:
     """id, url, payload and refers_to (null for a response) of each page. Equal payloads meet by
-    digest, and only digests seen more than once are joined back."""
+    digest; digests seen more than once are joined back, those of the most pages by broadcast, so
+    that the copies of the commonest payload stay where they are."""
     rows = pages.select(
         pages[page_id].cast("long").alias("id"),
         pages[url].cast("string").alias("url"),
@@ -210,10 +212,10 @@ def planned(pages: DataFrame, page_id: str = "page_id", payload: str = "html", u
         .groupBy("digest")
         .agg(F.min("id").alias("first"), F.count("*").alias("copies"))
         .filter("copies > 1 and first is not null")
-        .select("digest", "first")
     )
     revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
-    return rows.join(first, "digest", "left").select("id", "url", "payload", F.when(revisit, F.col("first")).alias("refers_to"))
+    found = meet(rows, written(first, "digests"), ["digest"], "copies", how="left")
+    return found.select("id", "url", "payload", F.when(revisit, F.col("first")).alias("refers_to"))
 
 
 def write_archives(plan: DataFrame, archive_bytes: int = ARCHIVE_BYTES, date: str = "2024-01-01T00:00:00Z") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+from palimpsest.llm import decontaminate as D
 from palimpsest.llm.decontaminate import MAX_EDIT_SHARE, Items, contaminated, normalized, origins
 
 
@@ -80,3 +81,14 @@ def test_blocks_give_the_same_rows(spark):
 def test_origins():
     raw = "  Abİc \n\n d  e "
     assert len(origins(raw)) == len(normalized(raw)) + 1
+
+
+def test_many_blocks(spark, monkeypatch):
+    """A block for each item, and results written every two blocks, change nothing."""
+    monkeypatch.setattr(D, "BLOCKS_A_PLAN", 2)
+    docs, items = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
+    items = items.limit(7)
+    few, many = (sorted(map(tuple, D.contaminated(docs, items, block_chars=n).collect())) for n in (2_000_000, 1))
+    assert few == many
+    few, many = (sorted(r.doc_id for r in D.decontaminated(docs, items, block_chars=n).collect()) for n in (2_000_000, 1))
+    assert few == many

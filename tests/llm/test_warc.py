@@ -64,3 +64,13 @@ def test_invalid_records():
 def test_empty_table(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert W.read_archives(W.write_archives(W.planned(pages))).count() == 0
+
+
+def test_one_payload_of_many_pages(spark, monkeypatch):
+    from palimpsest.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    monkeypatch.setattr(common, "HOT_KEYS", 1)
+    rows = [(i, f"http://x/{i}", "a" * 200 if i % 3 == 0 else "b" * 150 if i % 3 == 1 else f"{i}" * 100) for i in range(1, 60)]
+    plan = W.planned(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.id, r.refers_to) for r in plan) == [(i, {0: 3, 1: 1}.get(i % 3) if i > 3 and i % 3 < 2 else None) for i, _, _ in rows]
