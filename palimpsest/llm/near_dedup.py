@@ -43,7 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import discard, made_so_far, meet, slices, small_batches, sweep, written
@@ -270,8 +270,16 @@ def near_duplicates(
     now: DataFrame | None = None
     sets: DataFrame | None = None
     centres, rounds = 1, 0
-    enough = (F.col("size") + F.col("centre_size")) * (threshold / (1 + threshold)) - 1e-9
-    places = F.least(F.col("size") - F.col("nth"), F.col("centre_size") - F.col("centre_nth")) + 1 >= enough
+    joint = threshold / (1 + threshold)
+
+    def able(c: Column) -> Column:
+        """Could a node and a centre of another component reach the threshold, by their sizes and by
+        the places of the key that they share?"""
+        size, other = F.col("size"), c["size"]
+        sizes = F.least(size, other) >= F.greatest(size, other) * threshold - 1e-9
+        places = F.least(size - F.col("nth"), other - c["nth"]) + 1 >= (size + other) * joint - 1e-9
+        return (F.col("component") != c["component"]) & sizes & F.coalesce(places, F.lit(True))
+
     parts = ("node", "component", "size", "nth")
     while True:
         if labels is None:
@@ -288,7 +296,7 @@ def near_duplicates(
         if rounds in (0, BAND_ROUNDS):
             still = now.select(F.col("node").alias("id")).distinct()
             if sets is None:
-                found = shingle_sets(texts.join(still, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), weighting)
+                found = shingle_sets(texts.join(still.hint("merge"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), weighting)
             else:
                 found = sets.join(still.withColumnRenamed("id", "node"), "node", "left_semi")
             last, sets = sets, written(found, "sets")
@@ -302,10 +310,8 @@ def near_duplicates(
         chosen = sized.groupBy("bucket", share).agg(F.min_by(F.struct(*parts), "node").alias("c"), F.max("often").alias("often"))
         packed = written(chosen.groupBy("bucket").agg(F.collect_list("c").alias("centres"), F.max("often").alias("often")), "centres")
         met = meet(sized.drop("often"), packed, ["bucket"], "often", max(1, HOT_CENTRES // centres))
-        met = met.select("bucket", *parts, F.explode("centres").alias("c"))
-        met = met.select(*parts, *[F.col(f"c.{x}").alias(f"centre_{x}") for x in parts]).filter("component <> centre_component")
-        near = met.filter(F.least("size", "centre_size") >= F.greatest("size", "centre_size") * threshold - 1e-9).filter(F.coalesce(places, F.lit(True)))
-        pairs = near.select(F.greatest("node", "centre_node").alias("u"), F.least("node", "centre_node").alias("v")).distinct()
+        near = met.select("node", F.explode(F.filter("centres", able)).alias("c"))
+        pairs = near.select(F.greatest("node", "c.node").alias("u"), F.least("node", "c.node").alias("v")).distinct()
         pairs = written(pairs, "pairs")
         known = verified(pairs, sets, threshold).select("u", "v")
         if labels is not None:
