@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -24,28 +25,24 @@ def repaired(text: str) -> str:
     return "".join(out)
 
 
+#: The fence before and behind an answer.
+_OPENING, _CLOSING = re.compile(r"^```(?:json)?\s*\n?"), re.compile(r"\n?```\s*$")
+
+
 def parsed(raw: str | None) -> str | None:
-    """The JSON value of an answer as compact text; None if there is none."""
+    """The JSON value of an answer as compact text; None if there is none.
+
+    Fences go. The whole is tried as it is and repaired; then what follows the first bracket, and
+    what follows the first brace, if anything stands before it. Text behind a value is an error."""
     if raw is None:
         return None
-    text = raw.strip()
-    if text.startswith("```"):
-        text = text.partition("\n")[2]
-        text = text.rpartition("```")[0] if "```" in text else text
-    attempts = [text, repaired(text)]
-    starts = [i for i in (text.find("["), text.find("{")) if i >= 0]
-    if starts:
-        attempts.append(repaired(text[min(starts) :]))
-    for attempt in attempts:
+    text = _CLOSING.sub("", _OPENING.sub("", raw.strip(), count=1), count=1).strip()
+    tails = [text[i:] for i in (text.find("["), text.find("{")) if i > 0]
+    for attempt in (text, repaired(text), *map(repaired, tails)):
         try:
             return json.dumps(json.loads(attempt), separators=(",", ":"), ensure_ascii=False)
         except ValueError:
-            pass
-    if starts:
-        try:
-            return json.dumps(json.JSONDecoder().raw_decode(attempts[-1])[0], separators=(",", ":"), ensure_ascii=False)
-        except ValueError:
-            pass
+            continue
     return None
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from palimpsest.functions.arrays import running_sum
+
 #: The Markdown patterns that decide results.
 ATX = r"^(#{1,6})\s+(.+?)(?:\s+#+)?\s*$"
 NUMBERED_1 = r"^\d+\.\s+(.+)$"
@@ -21,6 +23,8 @@ BULLET_MARK = r"^[ \t]*[-*]\s+"
 NUMBER_MARK = r"^[ \t]*\d+\.\s+"
 BODY_NUMBER = r"^\d+[.)]\s"
 TABLE_RULE = r"^\s*\|[\s\-:|]+\|"
+BOLD_EDGE = r"^\*{1,2}|\*{1,2}$"
+LIST_PREFIX = r"^(?:\*\s+|-\s+|\d+\.\s+)+"
 #: The Unicode white-space characters.
 SPACES = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
@@ -70,10 +74,9 @@ def normalize_match(text: Column) -> Column:
 
 def normalize_heading(text: Column) -> Column:
     """A heading line without bold at its ends and list prefixes before it."""
-    edge = r"^\*{1,2}|\*{1,2}$"
-    prefix = r"^(?:[*\-+]\s+|\d+[.)]\s+)+"
-    once = strip(F.regexp_replace(strip(text), edge, ""))
-    return F.lower(strip(F.regexp_replace(F.regexp_replace(once, prefix, ""), edge, "")))
+    once = strip(F.regexp_replace(strip(text), BOLD_EDGE, ""))
+    bare = strip(F.regexp_replace(once, LIST_PREFIX, ""))
+    return F.lower(strip(F.regexp_replace(bare, BOLD_EDGE, "")))
 
 
 def clean_inline(text: Column) -> Column:
@@ -172,14 +175,19 @@ def prefix_count(text: Column, prefix: str) -> Column:
     return F.size(F.filter(F.transform(lines(text), strip), lambda x: x.startswith(prefix)))
 
 
+def all_capitals(text: Column) -> Column:
+    """Four letters or more, and every one upper-case; letters without case are not."""
+    letters = F.regexp_replace(text, r"[^\p{L}]", "")
+    return (F.length(letters) >= 4) & ~letters.rlike(r"[^\p{Lu}]")
+
+
 def separator_name(line: Column) -> Column:
-    """Of a bold all-capitals line of 8 to 80 characters with four letters or more, its name in
-    parentheses; else null."""
-    inner = F.regexp_extract(strip(line), r"^\*\*([^*]+)\*\*$", 1)
-    name = strip(inner)
-    letters = F.regexp_replace(name, r"[^\p{L}]", "")
-    good = F.length(name).between(8, 80) & (F.length(letters) >= 4) & (F.upper(letters) == letters)
-    return F.when(line.contains("**") & good, F.concat(F.lit("("), F.lower(name), F.lit(")")))
+    """Of a line in double asterisks, all capitals and of 8 to 80 characters inside them, the name
+    in parentheses; else null. What stands between the outer asterisks may hold others."""
+    bare = strip(line)
+    name = strip(F.substr(bare, F.lit(3), F.length(bare) - 4))
+    wrapped = line.contains("**") & bare.startswith("**") & bare.endswith("**") & (F.length(bare) >= 4)
+    return F.when(wrapped & F.length(name).between(8, 80) & all_capitals(name), F.concat(F.lit("("), F.lower(name), F.lit(")")))
 
 
 def preview(text: Column, chars: int, dots: bool = False) -> Column:
@@ -195,18 +203,11 @@ def curly_quotes(text: Column) -> tuple[Column, Column]:
 def double_space_lines(text: Column) -> Column:
     """Numbers (from 1) of the lines with two spaces inside their text; fenced code, table rows,
     images, rules and blank lines don't count."""
-    state = F.aggregate(
-        lines(text),
-        F.struct(F.lit(False).alias("code"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("hits")),
-        lambda acc, x: F.struct(
-            (acc["code"] != strip(x).startswith("```")).alias("code"),
-            (acc["n"] + 1).alias("n"),
-            F.when(
-                ~acc["code"] & ~strip(x).startswith("```") & ~strip(x).rlike(r"^(\||!\[|---)") & strip(x).contains("  "),
-                F.concat(acc["hits"], F.array(acc["n"] + 1)),
-            )
-            .otherwise(acc["hits"])
-            .alias("hits"),
-        ),
+    found = lines(text)
+    fence = lambda x: strip(x).startswith("```")
+    fences = running_sum(F.transform(found, lambda x: fence(x).cast("int")))
+    hit = F.zip_with(
+        found, fences, lambda x, n: (n % 2 == 0) & ~fence(x) & ~strip(x).rlike(r"^(\||!\[|---)") & strip(x).contains("  ")
     )
-    return state["hits"]
+    numbers = F.filter(F.transform(hit, lambda x, i: F.when(x, i + 1)), lambda i: i.isNotNull())
+    return F.when(text.contains("  "), numbers).otherwise(F.array().cast("array<int>"))

@@ -75,10 +75,18 @@ def rescued_tables(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame
 
 
 def next_versions(paths: DataFrame, path: str) -> DataFrame:
-    """path with `next_path`: stem_v001, or one more than the highest version of its stem."""
+    """path with `next_path`: its own version plus one, stem_v001 for a path without one, and from
+    there the first that isn't itself among the paths. The versions taken are gathered for each stem;
+    behind a version the first gap is the end of the unbroken run that begins with it."""
     pattern = r"^(.+?)(?:_v(\d{3,}))?(\.[^./]*)?$"
     stem, number, suffix = (F.regexp_extract(path, pattern, i) for i in (1, 2, 3))
     df = paths.withColumns({"_stem": stem, "_number": F.coalesce(F.when(number != "", number.cast("int")), F.lit(0)), "_suffix": suffix})
-    top = F.max("_number").over(Window.partitionBy("_stem", "_suffix"))
-    named = F.concat("_stem", F.lit("_v"), F.lpad((top + 1).cast("string"), 3, "0"), "_suffix")
-    return df.withColumn("next_path", named).drop("_stem", "_number", "_suffix")
+    keys = ["_stem", "_suffix"]
+    taken = df.select(*keys, "_number").distinct()
+    w = Window.partitionBy(*keys).orderBy("_number")
+    # Neighbours of a run share the difference of version and rank.
+    runs = taken.withColumn("_run", F.col("_number") - F.row_number().over(w))
+    runs = runs.withColumn("_end", F.max("_number").over(Window.partitionBy(*keys, "_run"))).select(*keys, "_number", "_end")
+    named = F.concat("_stem", F.lit("_v"), F.format_string("%03d", F.col("_end") + 1), "_suffix")
+    out = df.join(runs, [*keys, "_number"]).withColumn("next_path", named)
+    return out.select(*paths.columns, "next_path")

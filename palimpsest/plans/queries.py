@@ -65,12 +65,14 @@ def norm_match(spark, sf):
     return V.read(spark, sf, "documents").select("doc_id", T.normalize_match(F.col("text")).alias("norm"))
 
 
-_EDGE, _PREFIX = r"'^\*{1,2}|\*{1,2}$'", r"'^(?:[*\-+]\s+|\d+[.)]\s+)+'"
+_EDGE, _PREFIX = r"'^\*{1,2}|\*{1,2}$'", r"'^(?:\*\s+|-\s+|\d+\.\s+)+'"
 
 
-@query(
-    f"WITH {PAGE_LINES} SELECT page_id, pos, lower({STRIP(f'''regexp_replace(regexp_replace({STRIP(f'regexp_replace({STRIP("line")}, {_EDGE}, {chr(39)*2}, {chr(39)}g{chr(39)})')}, {_PREFIX}, '', 'g'), {_EDGE}, '', 'g')''')}) AS norm FROM p_lines"
-)
+_ONCE = STRIP(f"regexp_replace({STRIP('line')}, {_EDGE}, '', 'g')")
+_BARE = STRIP(f"regexp_replace({_ONCE}, {_PREFIX}, '', 'g')")
+
+
+@query(f"""WITH {PAGE_LINES} SELECT page_id, pos, lower({STRIP(f"regexp_replace({_BARE}, {_EDGE}, '', 'g')")}) AS norm FROM p_lines""")
 def heading_norm(spark, sf):
     return line_table(V.pages_md(spark, sf), "page_id").select("page_id", "pos", T.normalize_heading(F.col("line")).alias("norm"))
 
@@ -80,7 +82,7 @@ def clean_inline(spark, sf):
     return line_table(V.pages_md(spark, sf), "page_id").select("page_id", "pos", T.clean_inline(F.col("line")).alias("clean"))
 
 
-_CELL = r"'a\_b \*x\* ' || left(text, 40) || ' `q` ~~z~~ \| **w**'"
+_CELL = r"'a\_b \*x\* ' || text || ' `q` ~~z~~ \| **w**'"
 
 
 @query(
@@ -88,7 +90,7 @@ _CELL = r"'a\_b \*x\* ' || left(text, 40) || ' `q` ~~z~~ \| **w**'"
 SELECT doc_id, {STRIP(r"regexp_replace(c, '\*{1,2}|`{1,3}|~~', '', 'g')")} AS plain, {STRIP(r"regexp_replace(c, '`{1,3}|~~', '', 'g')")} AS bold FROM c"""
 )
 def clean_cells(spark, sf):
-    c = F.concat(F.lit(r"a\_b \*x\* "), F.substring("text", 1, 40), F.lit(r" `q` ~~z~~ \| **w**"))
+    c = F.concat(F.lit(r"a\_b \*x\* "), F.col("text"), F.lit(r" `q` ~~z~~ \| **w**"))
     return V.read(spark, sf, "documents").select("doc_id", T.clean_cell(c).alias("plain"), T.clean_cell(c, True).alias("bold"))
 
 
@@ -119,22 +121,13 @@ def page_bullets(spark, sf):
 @query(
     rf"""WITH {PAGE_LINES}, s AS (SELECT page_id, pos, string_split(line, '**') AS p FROM p_lines WHERE contains(line, '**')),
 u AS (SELECT page_id, pos, p, unnest(range(1, len(p) + 1)) AS i FROM s)
-SELECT page_id, pos, i AS part, CASE WHEN i = len(p) AND i % 2 = 0 THEN '**' || p[i] ELSE p[i] END AS text, i % 2 = 0 AND i < len(p) AS bold
+SELECT page_id, pos, CAST(row_number() OVER (PARTITION BY page_id, pos ORDER BY i) - 1 AS INTEGER) AS part,
+CASE WHEN i = len(p) AND i % 2 = 0 THEN '**' || p[i] ELSE p[i] END AS text, i % 2 = 0 AND i < len(p) AS bold
 FROM u WHERE p[i] <> '' OR (i = len(p) AND i % 2 = 0)"""
 )
 def bold_segments(spark, sf):
     lines = line_table(V.pages_md(spark, sf), "page_id").filter(F.col("line").contains("**"))
-    # Positions among all pieces, empty ones too, as a stable number of the segment.
-    parts = F.split("line", r"\*\*")
-    seg = F.transform(
-        parts,
-        lambda x, i: F.struct(
-            (i + 1).cast("bigint").alias("part"),
-            F.when((i == F.size(parts) - 1) & (i % 2 == 1), F.concat(F.lit("**"), x)).otherwise(x).alias("text"),
-            ((i % 2 == 1) & (i < F.size(parts) - 1)).alias("bold"),
-        ),
-    )
-    return lines.select("page_id", "pos", F.explode(F.filter(seg, lambda s: s["text"] != "")).alias("s")).select("page_id", "pos", "s.*")
+    return lines.select("page_id", "pos", F.posexplode(T.bold_segments(F.col("line"))).alias("part", "s")).select("page_id", "pos", "part", "s.*")
 
 
 @query(
@@ -175,16 +168,19 @@ def structure_counts(spark, sf):
     return V.pages_md(spark, sf).select("page_id", T.body_line_count(t).alias("body_lines"), T.table_count(t).alias("tables"), T.prefix_count(t, "* ").alias("stars"))
 
 
-_SEP = "'**' || upper(array_to_string(string_split(replace(replace(text, 'ß', 's'), chr(10), ' '), ' ')[1:3], ' ')) || '**'"
+_SEP = STRIP("substr(m, 3, length(m) - 4)")
 
 
 @query(
-    rf"""WITH s AS (SELECT doc_id, {STRIP(rf"regexp_extract({_SEP}, '^\*\*([^*]+)\*\*$', 1)")} AS n FROM documents)
-SELECT doc_id, CASE WHEN length(n) BETWEEN 8 AND 80 AND length(regexp_replace(n, '[^\p{{L}}]', '', 'g')) >= 4 AND upper(n) = n THEN '(' || lower(n) || ')' END AS name FROM s"""
+    rf"""WITH {LINES}, m AS (SELECT doc_id, pos, {STRIP("'**' || upper(replace(line, 'ß', 's')) || '**'")} AS m FROM d_lines), s AS (SELECT doc_id, pos, {_SEP} AS n FROM m),
+c AS (SELECT *, regexp_replace(n, '[^\p{{L}}]', '', 'g') AS c FROM s)
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, '(' || lower(n) || ')' AS name FROM c WHERE length(n) BETWEEN 8 AND 80 AND length(c) >= 4 AND NOT regexp_matches(c, '[^\p{{Lu}}]')"""
 )
 def separator_names(spark, sf):
-    first = F.upper(F.array_join(F.slice(F.split(F.translate("text", "\nß", " s"), " "), 1, 3), " "))
-    return V.read(spark, sf, "documents").select("doc_id", T.separator_name(F.concat(F.lit("**"), first, F.lit("**"))).alias("name"))
+    """Every line, put into capitals and bold; lines that hold asterisks count with them."""
+    rows = V.read(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    named = T.separator_name(F.concat(F.lit("**"), F.upper(F.translate("line", "ß", "s")), F.lit("**")))
+    return rows.select("doc_id", "pos", named.alias("name")).filter("name is not null")
 
 
 @query("SELECT doc_id, left(text, 200) AS p200, left(text, 60) || CASE WHEN length(text) > 60 THEN '...' ELSE '' END AS p60 FROM documents")
@@ -220,9 +216,10 @@ def json_fence_parse(spark, sf):
     return df.select("doc_id", F.col("j.doc_id").alias("id"), F.concat_ws("-", "j.lang", "j.source").alias("tag"))
 
 
-@query("""SELECT doc_id, '{"doc_id":' || doc_id || ',"lang":"' || lang || '"}' AS payload FROM documents""")
+@query(r"""SELECT doc_id, '{"doc_id":' || doc_id || ',"lang":"' || lang || '\n\t' || source || '"}' AS payload FROM documents""")
 def json_repair(spark, sf):
-    raw = F.concat(F.lit("Here it is:\n"), payload("doc_id", "lang"), F.lit("\nthat was all"))
+    """An answer behind a preamble with brackets, with raw line ends and tabs inside a string."""
+    raw = F.concat(F.lit('Here [1] it is:\n{"doc_id":'), F.col("doc_id").cast("string"), F.lit(',"lang":"'), F.col("lang"), F.lit("\n\t"), F.col("source"), F.lit('"}\n```\n'))
     return V.read(spark, sf, "documents").select("doc_id", json_answer(raw).alias("payload"))
 
 
@@ -286,15 +283,23 @@ def style_inheritance(spark, sf):
     return styles.style_levels(t, "doc")
 
 
+_BULLET_NAME, _NUMBER_NAME = r"'(?i)^(list[-\s]?bullet|bullets?$)'", r"'(?i)^list[-\s]?number'"
+
+
 @query(
-    """WITH s AS (SELECT n_regionkey AS doc, n_nationkey AS pos, CASE n_nationkey % 4 WHEN 0 THEN 'ListBullet' WHEN 1 THEN 'ListNumber' WHEN 2 THEN 'MyBulletList' ELSE 'Normal' END || CASE WHEN n_nationkey > 9 THEN '' ELSE '' || n_nationkey END AS id FROM nation),
-b AS (SELECT doc, id, row_number() OVER (PARTITION BY doc ORDER BY length(id), pos) AS n FROM s WHERE id LIKE '%Bullet%'), m AS (SELECT doc, id, row_number() OVER (PARTITION BY doc ORDER BY length(id), pos) AS n FROM s WHERE id LIKE '%Number%')
-SELECT d.doc, b.id AS bullet, m.id AS numbered FROM (SELECT DISTINCT doc FROM s) d LEFT JOIN b ON b.doc = d.doc AND b.n = 1 LEFT JOIN m ON m.doc = d.doc AND m.n = 1"""
+    rf"""WITH s AS (SELECT n_regionkey AS doc, n_nationkey AS pos, CASE n_nationkey % 4 WHEN 0 THEN 'ListBullet' WHEN 1 THEN 'List Number' WHEN 2 THEN 'MyBulletList' ELSE 'B' END || CASE WHEN n_nationkey > 9 THEN '' ELSE '' || n_nationkey END AS id,
+  CASE WHEN n_nationkey % 8 = 3 THEN 'Bullets' WHEN n_nationkey % 8 = 7 THEN 'list-number x' ELSE 'Normal List Bullet' END AS name FROM nation),
+k AS (SELECT *, regexp_matches(id, {_BULLET_NAME}) OR regexp_matches(name, {_BULLET_NAME}) AS b, regexp_matches(id, {_NUMBER_NAME}) OR regexp_matches(name, {_NUMBER_NAME}) AS n FROM s),
+b AS (SELECT doc, id, row_number() OVER (PARTITION BY doc ORDER BY length(id), pos) AS r FROM k WHERE b), m AS (SELECT doc, id, row_number() OVER (PARTITION BY doc ORDER BY length(id), pos) AS r FROM k WHERE n AND NOT b)
+SELECT d.doc, b.id AS bullet, m.id AS numbered FROM (SELECT DISTINCT doc FROM s) d LEFT JOIN b ON b.doc = d.doc AND b.r = 1 LEFT JOIN m ON m.doc = d.doc AND m.r = 1"""
 )
 def list_styles(spark, sf):
     n = F.col("n_nationkey")
-    kind = F.element_at(F.array(F.lit("ListBullet"), F.lit("ListNumber"), F.lit("MyBulletList"), F.lit("Normal")), (n % 4 + 1).cast("int"))
-    t = V.read(spark, sf, "nation").select(F.col("n_regionkey").alias("doc"), n.alias("pos"), F.concat(kind, F.when(n > 9, "").otherwise(n.cast("string"))).alias("style_id"))
+    kind = F.element_at(F.array(F.lit("ListBullet"), F.lit("List Number"), F.lit("MyBulletList"), F.lit("B")), (n % 4 + 1).cast("int"))
+    name = F.when(n % 8 == 3, "Bullets").when(n % 8 == 7, "list-number x").otherwise("Normal List Bullet")
+    t = V.read(spark, sf, "nation").select(
+        F.col("n_regionkey").alias("doc"), n.alias("pos"), F.concat(kind, F.when(n > 9, "").otherwise(n.cast("string"))).alias("style_id"), name.alias("name")
+    )
     return styles.list_styles(t, "doc")
 
 
@@ -818,36 +823,44 @@ def patch_totals(spark, sf):
 # --- duplicates and order ---------------------------------------------------------------------
 
 
-def _doc_blocks(spark, sf):
+def _doc_blocks(spark, sf, blanks: bool = False):
+    """Lines as blocks, in sections of 20, of which every other run of four is edited."""
     b = md_blocks(V.read(spark, sf, "documents"), "doc_id").withColumn("norm", F.lower(T.collapse(F.col("text"))))
-    return b.filter("kind <> 'blank'").withColumns({"sec_idx": F.expr("pos DIV 20"), "edited": (F.expr("pos DIV 4") % 2) == 1})
+    b = b if blanks else b.filter("kind <> 'blank'")
+    return b.withColumns({"sec_idx": F.expr("pos DIV 20"), "edited": (F.expr("pos DIV 4") % 2) == 1})
 
 
-_DB = rf"""{LINES}, db AS (SELECT doc_id, CAST(pos AS INTEGER) AS pos, {INLINE('line')} AS text, lower({COLLAPSE(INLINE('line'))}) AS norm, pos // 20 AS sec_idx, pos // 4 % 2 = 1 AS edited,
-  CASE WHEN contains(line, '|') THEN 'table_row' WHEN regexp_matches(line, '^[ \t]*[-*+]\s+(.+?)[ \t]*$') THEN 'list' ELSE 'para' END AS kind FROM d_lines WHERE NOT regexp_matches(line, '^\s*$'))"""
+_DB = rf"""{LINES}, dall AS (SELECT doc_id, CAST(pos AS INTEGER) AS pos, {INLINE('line')} AS text, lower({COLLAPSE(INLINE('line'))}) AS norm, pos // 20 AS sec_idx, pos // 4 % 2 = 1 AS edited,
+  CASE WHEN regexp_matches(line, '^\s*$') THEN 'blank' WHEN contains(line, '|') THEN 'table_row' WHEN regexp_matches(line, '^[ \t]*[-*+]\s+(.+?)[ \t]*$') THEN 'list' ELSE 'para' END AS kind FROM d_lines),
+db AS (SELECT * FROM dall WHERE kind <> 'blank')"""
 
 
 @query(
-    f"""WITH {_DB}, p AS (SELECT *, lag(CASE WHEN kind IN ('para', 'list') AND norm <> '' THEN norm END) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM db)
+    f"""WITH {_DB}, p AS (SELECT *, lag(CASE WHEN kind IN ('para', 'list') AND norm <> '' THEN norm END) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM dall)
 SELECT doc_id, pos FROM p WHERE kind IN ('para', 'list') AND norm <> '' AND norm = b"""
 )
 def consecutive_dups(spark, sf):
-    return dedup.consecutive_duplicates(_doc_blocks(spark, sf), "doc_id").select("doc_id", "pos")
+    return dedup.consecutive_duplicates(_doc_blocks(spark, sf, blanks=True), "doc_id").select("doc_id", "pos")
 
 
-@query(f"""WITH {_DB}, p AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sec_idx, norm ORDER BY pos) AS nth FROM db WHERE length(text) >= 40 AND kind = 'para') SELECT doc_id, pos, CAST(nth AS INTEGER) AS nth FROM p WHERE nth > 1""")
+@query(
+    f"""WITH {_DB}, p AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sec_idx, norm ORDER BY pos) AS nth FROM db WHERE edited AND length(text) >= 40 AND kind IN ('para', 'list'))
+SELECT doc_id, pos, CAST(nth AS INTEGER) AS nth FROM p WHERE nth > 1"""
+)
 def section_dedup(spark, sf):
     return dedup.repeated_in_section(_doc_blocks(spark, sf), "doc_id").select("doc_id", "pos", "nth")
 
 
 @query(
-    f"""WITH {_DB}, n AS (SELECT *, lead(pos) OVER w AS np, lead(edited) OVER w AS ne FROM db WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
-g AS (SELECT * FROM n WHERE edited AND length(text) >= 40 AND EXISTS (SELECT 1 FROM n h WHERE h.doc_id = n.doc_id AND h.norm = n.norm AND NOT h.edited AND length(h.text) >= 40))
-SELECT doc_id, pos, 'copy' AS reason FROM g UNION ALL
-SELECT s.doc_id, s.pos, 'orphan' FROM n s JOIN g ON g.doc_id = s.doc_id AND g.pos = s.np WHERE s.edited AND s.ne AND length(s.text) < 40 AND s.kind = 'para' AND s.text <> ''"""
+    f"""WITH {_DB}, s AS (SELECT *, pos // 4 AS sec FROM db), l AS (SELECT * FROM s WHERE kind IN ('para', 'list') AND length(text) >= 40),
+g AS (SELECT doc_id, pos FROM l WHERE edited AND EXISTS (SELECT 1 FROM l h WHERE h.doc_id = l.doc_id AND h.norm = l.norm AND NOT h.edited)),
+n AS (SELECT s.*, g.pos IS NOT NULL AS c FROM s LEFT JOIN g ON g.doc_id = s.doc_id AND g.pos = s.pos),
+b AS (SELECT *, lag(pos) OVER w AS bp, lag(kind) OVER w AS bk, lag(length(text)) OVER w AS bn, lag(sec) OVER w AS bs, coalesce(lag(c) OVER w, false) AS bc FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
+SELECT doc_id, pos, 'copy' AS reason FROM b WHERE c UNION ALL SELECT doc_id, bp, 'orphan' FROM b WHERE c AND NOT bc AND bk = 'para' AND bs = sec AND bn BETWEEN 1 AND 99"""
 )
 def cross_section_dups(spark, sf):
-    return dedup.across_sections(_doc_blocks(spark, sf), "doc_id")
+    """Sections of four lines, every other one edited."""
+    return dedup.across_sections(_doc_blocks(spark, sf).withColumn("sec_idx", F.expr("pos DIV 4")), "doc_id")
 
 
 _HEADED = "CASE WHEN pos % 20 = 0 THEN 'heading' ELSE 'para' END"
@@ -857,9 +870,14 @@ def _headed(spark, sf):
     return _doc_blocks(spark, sf).withColumn("kind", F.when(F.col("pos") % 20 == 0, "heading").otherwise("para"))
 
 
-@query(f"""WITH {_DB}, k AS (SELECT * REPLACE ({_HEADED} AS kind) FROM db) SELECT doc_id, pos FROM k WHERE kind = 'para' AND edited AND EXISTS (SELECT 1 FROM k h WHERE h.doc_id = k.doc_id AND h.norm = k.norm AND h.kind = 'heading' AND NOT h.edited)""")
+@query(
+    f"""WITH {_DB}, k AS (SELECT * REPLACE ({_HEADED} AS kind) FROM db),
+h AS (SELECT *, kind = 'para' AND edited AND norm <> '' AND EXISTS (SELECT 1 FROM k h WHERE h.doc_id = k.doc_id AND h.norm = k.norm AND h.kind = 'heading' AND NOT h.edited) AS c FROM k),
+b AS (SELECT *, lag(pos) OVER w AS bp, lag(kind) OVER w AS bk, lag(length(text)) OVER w AS bn, lag(sec_idx) OVER w AS bs, coalesce(lag(c) OVER w, false) AS bc FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
+SELECT doc_id, pos, 'heading' AS reason FROM b WHERE c UNION ALL SELECT doc_id, bp, 'orphan' FROM b WHERE c AND NOT bc AND bk = 'para' AND bs = sec_idx AND bn BETWEEN 1 AND 99"""
+)
 def preserved_heading_dups(spark, sf):
-    return dedup.preserved_headings(_headed(spark, sf), "doc_id").select("doc_id", "pos")
+    return dedup.preserved_headings(_headed(spark, sf), "doc_id")
 
 
 @query(
@@ -877,15 +895,15 @@ def extra_headings(spark, sf):
 
 
 @query(
-    f"""WITH {V.TURNS}, h AS (SELECT conv_id, turn * 2 AS pos, heading, turn % 3 = 1 AS edited FROM turns UNION ALL SELECT conv_id, turn * 2 + 1, heading, false FROM turns WHERE turn % 3 = 2),
-n AS (SELECT *, lead(heading) OVER w AS nx, lag(edited) OVER w AS b FROM h WINDOW w AS (PARTITION BY conv_id ORDER BY pos)) SELECT conv_id, pos, heading FROM n WHERE b AND NOT edited AND nx = heading"""
+    f"""WITH {V.TURNS} SELECT conv_id, turn * 4 + i AS pos, CASE i WHEN 0 THEN heading ELSE text END AS text FROM turns, (VALUES (0), (1)) AS v(i) WHERE turn % 3 = 2"""
 )
 def duplicated_sections(spark, sf):
+    """A heading and a body for each turn; behind an edited one the next section stands twice."""
     t = V.turns(spark, sf)
-    h = t.select("conv_id", (F.col("turn") * 2).alias("pos"), "heading", (F.col("turn") % 3 == 1).alias("edited")).unionByName(
-        t.filter("turn % 3 = 2").select("conv_id", (F.col("turn") * 2 + 1).alias("pos"), "heading", F.lit(False).alias("edited"))
-    )
-    return dedup.duplicated_sections(h, "conv_id").select("conv_id", "pos", "heading")
+    copies = F.when(F.col("turn") % 3 == 2, F.array(F.lit(0), F.lit(2))).otherwise(F.array(F.lit(0)))
+    b = t.select("conv_id", "turn", "heading", "text", F.explode(copies).alias("at"))
+    part = lambda kind, name, at: b.select("conv_id", (F.col("turn") * 4 + F.col("at") + at).alias("pos"), F.lit(kind).alias("kind"), F.col(name).alias("text"), (F.col("turn") % 3 == 1).alias("edited"))
+    return dedup.duplicated_sections(part("heading", "heading", 0).unionByName(part("para", "text", 1)), "conv_id").select("conv_id", "pos", "text")
 
 
 @query(
@@ -929,8 +947,9 @@ def repeated_lines(spark, sf):
 
 
 @query(
-    """WITH p AS (SELECT p_partkey, 'part' || p_size || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '_v' || lpad(CAST(p_partkey % 12 AS VARCHAR), 3, '0') END || '.docx' AS path, p_size, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE p_partkey % 12 END AS v FROM part)
-SELECT p_partkey, path, 'part' || p_size || '_v' || lpad(CAST(max(v) OVER (PARTITION BY p_size) + 1 AS VARCHAR), 3, '0') || '.docx' AS next_path FROM p"""
+    """WITH p AS (SELECT p_partkey, 'part' || p_size || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '_v' || lpad(CAST(p_partkey % 12 AS VARCHAR), 3, '0') END || '.docx' AS path, p_size, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE p_partkey % 12 END AS v FROM part), t AS (SELECT DISTINCT p_size, v FROM p), r AS (SELECT *, v - row_number() OVER (PARTITION BY p_size ORDER BY v) AS run FROM t),
+e AS (SELECT p_size, v, max(v) OVER (PARTITION BY p_size, run) + 1 AS e FROM r)
+SELECT p_partkey, path, 'part' || p.p_size || '_v' || lpad(CAST(e AS VARCHAR), 3, '0') || '.docx' AS next_path FROM p JOIN e ON e.p_size = p.p_size AND e.v = p.v"""
 )
 def version_path(spark, sf):
     k = F.col("p_partkey")

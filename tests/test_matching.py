@@ -115,12 +115,38 @@ def test_edits(spark):
 
 
 def test_versions(spark):
-    names = ["report", "report_v001", "report_v012", "a.docx", "a_v003.docx"]
+    # A path's own version plus one, past the versions that are taken.
+    names = ["report", "report_v001", "report_v012", "a.docx", "a_v003.docx", "b_v999", "b_v1000"]
     out = edits.next_versions(spark.createDataFrame([(n,) for n in names], "path string"), "path")
-    assert {r.path: r.next_path for r in out.collect()} == {"report": "report_v013", "report_v001": "report_v013", "report_v012": "report_v013", "a.docx": "a_v004.docx", "a_v003.docx": "a_v004.docx"}
+    assert {r.path: r.next_path for r in out.collect()} == {
+        "report": "report_v002", "report_v001": "report_v002", "report_v012": "report_v013", "a.docx": "a_v001.docx", "a_v003.docx": "a_v004.docx",
+        "b_v999": "b_v1001", "b_v1000": "b_v1001",
+    }
 
 
 def test_style_levels(spark):
     rows = [(1, "Base", 0, None), (1, "Child", None, "Base"), (1, "Grand", None, "Child"), (1, "X", None, "Y"), (1, "Y", None, "X"), (1, "Heading3", None, None), (1, "Deep", 9, "Heading3")]
     out = styles.style_levels(spark.createDataFrame(rows, "doc long, style_id string, outline_lvl int, based_on string"), "doc")
     assert {r.style_id: r.level for r in out.collect()} == {"Base": 1, "Child": 1, "Grand": 1, "Heading3": 3, "Deep": 3}
+
+
+def test_long_chains_and_spaced_heading_ids(spark):
+    rows = [(1, "Heading 12", None, None), (1, "C0", None, "Heading 12"), *((1, f"C{i}", None, f"C{i - 1}") for i in range(1, 41))]
+    rows += [(2, "C0", 99, "C1"), (2, "C1", None, "C0"), (2, "heading2", None, None), (2, "HEADING3", None, None)]
+    out = styles.style_levels(spark.createDataFrame(rows, "doc long, style_id string, outline_lvl int, based_on string"), "doc")
+    got = {(r.doc, r.style_id): r.level for r in out.collect()}
+    assert got == {(1, "Heading 12"): 12, (2, "heading2"): 2, **{(1, f"C{i}"): 12 for i in range(41)}}
+
+
+def test_copies_and_their_short_leads(spark):
+    from palimpsest.operators import dedup
+
+    long, other = "a paragraph of the preserved section, long enough", "another paragraph, which is long enough to be compared"
+    rows = [(0, 0, "heading", "Kept", False), (1, 0, "para", long, False), (2, 1, "heading", "Edited", True), (3, 1, "para", "x" * 60, True), (4, 1, "para", long, True),
+            (5, 1, "list", "short item", True), (6, 1, "para", long, True), (7, 1, "para", long, True), (8, 1, "para", other, True), (9, 1, "list", other, True),
+            (10, 1, "para", "lead", True), (11, 1, "para", "kept", True)]
+    df = spark.createDataFrame([(1, p, s, k, t, t.lower(), e) for p, s, k, t, e in rows], "doc long, pos int, sec_idx int, kind string, text string, norm string, edited boolean")
+    # A lead of 40 to 99 characters goes, a list item before a copy stays, a copy is nobody's lead.
+    assert {(r.pos, r.reason) for r in dedup.across_sections(df, "doc").collect()} == {(4, "copy"), (3, "orphan"), (6, "copy"), (7, "copy")}
+    assert {r.pos for r in dedup.repeated_in_section(df, "doc").collect()} == {6, 7, 9}
+    assert {(r.pos, r.reason) for r in dedup.preserved_headings(df, "doc").collect()} == {(11, "heading"), (10, "orphan")}

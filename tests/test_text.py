@@ -79,6 +79,14 @@ def test_table_rows(spark):
 
 def test_json():
     assert J.parsed('```json\n{"a": 1}\n```') == '{"a":1}'
-    assert J.parsed('Sure: [1, "x\ny"] done') == '[1,"x\\ny"]'
+    assert J.parsed('Sure: [1, "x\ny"]') == '[1,"x\\ny"]' and J.parsed('Sure: [1] done') is None
+    assert J.parsed('note [1]: {"a":1}') == '{"a":1}' and J.parsed('```json {"a":1}```') == '{"a":1}' and J.parsed('{"a":1} trailing') is None
     assert J.parsed("nothing") is None and J.parsed(None) is None
     assert J.repaired('{"a": "b\tc\\"\n"}\n') == '{"a": "b\\tc\\"\\n"}\n'
+
+
+def test_separators_and_prefixes_at_their_limits(value):
+    assert value(T.separator_name, "**SIGNATURE *PAGE* FOLLOWS**") == "(signature *page* follows)"
+    assert value(T.separator_name, "**日本語日本語日本語**") is None and value(T.separator_name, "****") is None
+    assert value(T.normalize_heading, "+ Schedule") == "+ schedule" and value(T.normalize_heading, "1) Schedule") == "1) schedule"
+    assert value(T.normalize_heading, "- 2. **Schedule**") == "schedule"
