@@ -150,3 +150,13 @@ def test_copies_and_their_short_leads(spark):
     assert {(r.pos, r.reason) for r in dedup.across_sections(df, "doc").collect()} == {(4, "copy"), (3, "orphan"), (6, "copy"), (7, "copy")}
     assert {r.pos for r in dedup.repeated_in_section(df, "doc").collect()} == {6, 7, 9}
     assert {(r.pos, r.reason) for r in dedup.preserved_headings(df, "doc").collect()} == {(11, "heading"), (10, "orphan")}
+
+
+def test_a_long_pair(spark):
+    """500 sections of one pair: headings are aligned in one group, contents are not."""
+    from palimpsest.operators import align
+
+    doc = lambda word: "".join(f"## part {i} of the text\n\nbody {i} {word if i % 50 == 0 else 'same'}\n\n" for i in range(500))
+    base, source = (spark.createDataFrame([(1, doc(w))], "pair long, text string") for w in ("old", "another"))
+    out = align.section_diff(base, source, "pair").select("source_idx", "base_idx", "action").collect()
+    assert len(out) == 500 and all(r.source_idx == r.base_idx and (r.action == "identical") == (r.source_idx % 50 != 0) for r in out)
