@@ -37,16 +37,3 @@ def multiset_bound(a: Column, b: Column) -> Column:
         F.filter(letters, lambda c: c != ""), F.lit(0), lambda n, c: n + F.least(count(a, c), count(b, c)).cast("int")
     )
     return 2 * shared / F.greatest(F.length(a) + F.length(b), F.lit(1))
-
-
-def reaches(a: str, b: str, least: float) -> float | None:
-    """The ratio if it is `least` or more, after both bounds; None otherwise."""
-    if not a or not b or 2 * min(len(a), len(b)) < least * (len(a) + len(b)) - 1e-12:
-        return None
-    if a == b:
-        return 1.0
-    m = SequenceMatcher(None, a, b, autojunk=False)
-    if m.quick_ratio() < least:
-        return None
-    r = m.ratio()
-    return r if r >= least else None

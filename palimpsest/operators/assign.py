@@ -4,19 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from difflib import SequenceMatcher
-
-from palimpsest.functions.similarity import reaches
-
-
-def pairs_above(left: Sequence[str], right: Sequence[str], least: float) -> list[tuple[float, int, int]]:
-    """(ratio, left index, right index) of the pairs that reach `least`, in index order."""
-    out = []
-    for i, a in enumerate(left):
-        for j, b in enumerate(right):
-            r = reaches(a, b, least)
-            if r is not None:
-                out.append((r, i, j))
-    return out
+from heapq import heapify, heappop, heappush
 
 
 def greedy_global(pairs: list[tuple[float, int, int]], ties_descending: bool = False) -> dict[int, tuple[int, float]]:
@@ -32,8 +20,40 @@ def greedy_global(pairs: list[tuple[float, int, int]], ties_descending: bool = F
     return out
 
 
+def greedy_bounded(left: Sequence[str], right: Sequence[str], least: float, ties_descending: bool = False) -> dict[int, tuple[int, float]]:
+    """What greedy_global gives for all pairs of ratio `least` or more, with few ratios computed. Pairs
+    wait in a heap under their length bound, then their multiset bound, then their ratio; a pair is
+    taken only when no bound above it is left, and a pair of a taken side is never measured."""
+    sign = -1 if ties_descending else 1
+    heap = []
+    for i, a in enumerate(left):
+        for j, b in enumerate(right):
+            n = len(a) + len(b)
+            if a and b and 2 * min(len(a), len(b)) >= least * n - 1e-12:
+                heap.append((-2.0 * min(len(a), len(b)) / n, 0, sign * i, sign * j))
+    heapify(heap)
+    matchers: dict[int, SequenceMatcher] = {}
+    taken: set[int] = set()
+    out: dict[int, tuple[int, float]] = {}
+    while heap:
+        value, known, i, j = heappop(heap)
+        i, j = sign * i, sign * j
+        if i in out or j in taken:
+            continue
+        if known == 2:
+            out[i] = (j, -value)
+            taken.add(j)
+            continue
+        m = matchers.get(j) or matchers.setdefault(j, SequenceMatcher(None, "", right[j], autojunk=False))
+        m.set_seq1(left[i])
+        r = m.ratio() if known else m.quick_ratio()
+        if r >= least:
+            heappush(heap, (-r, known + 1, sign * i, sign * j))
+    return out
+
+
 def match_global(left: Sequence[str], right: Sequence[str], least: float, ties_descending: bool = False) -> dict[int, tuple[int, float]]:
-    """greedy_global over all pairs that reach `least`. Only equal texts have ratio 1 and they come
+    """Best pairs first over all pairs that reach `least`. Only equal texts have ratio 1 and they come
     first, so they are paired by value and only the rest is compared."""
     step = -1 if ties_descending else 1
     places: dict[str, list[int]] = {}
@@ -47,8 +67,8 @@ def match_global(left: Sequence[str], right: Sequence[str], least: float, ties_d
     taken = {j for j, _ in out.values()}
     lefts = [i for i in range(len(left)) if i not in out]
     rights = [j for j in range(len(right)) if j not in taken]
-    pairs = [(r, lefts[i], rights[j]) for r, i, j in pairs_above([left[i] for i in lefts], [right[j] for j in rights], least)]
-    return out | greedy_global(pairs, ties_descending)
+    rest = greedy_bounded([left[i] for i in lefts], [right[j] for j in rights], least, ties_descending)
+    return out | {lefts[i]: (rights[j], r) for i, (j, r) in rest.items()}
 
 
 def greedy_in_order(n: int, m: int, score: Callable[[int, int], float | None]) -> dict[int, tuple[int, float]]:

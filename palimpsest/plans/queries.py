@@ -535,92 +535,93 @@ def batch_assignment(spark, sf):
     return align.batches(items, "conv_id", "turn", "chars", large=300).select("conv_id", "turn", "batch", "large", "max_tokens")
 
 
-_OPENINGS = "o AS (SELECT doc_id, doc_id // 20 AS g, lower(left(text, 40)) AS t FROM documents)"
+_NEAR = f"{LINES}, o AS (SELECT doc_id, pos, lower(line) AS t FROM d_lines)"
 
 
-def _openings(spark, sf):
-    return V.read(spark, sf, "documents").select("doc_id", F.expr("doc_id DIV 20").alias("g"), F.lower(F.substring("text", 1, 40)).alias("t"))
+def _neighbours(spark, sf):
+    """Every line of every document with the line after it, both whole: (doc_id, pos, ta, tb). A
+    document's pairs are made inside its row, so their number is that of its lines."""
+    ls = F.split(F.lower("text"), "\n")
+    pair = lambda a, i: F.struct(i.alias("pos"), a.alias("ta"), F.get(ls, i + 1).alias("tb"))
+    return V.read(spark, sf, "documents").select("doc_id", F.explode(F.transform(ls, pair)).alias("x")).select("doc_id", "x.*").filter("tb is not null")
 
 
-def _opening_pairs(spark, sf):
-    o = _openings(spark, sf)
-    a, b = o.select("g", F.col("doc_id").alias("a"), F.col("t").alias("ta")), o.select("g", F.col("doc_id").alias("b"), F.col("t").alias("tb"))
-    return a.join(b, "g").filter("a < b")
-
-
-@query(f"WITH {_OPENINGS} SELECT x.doc_id AS a, y.doc_id AS b FROM o x JOIN o y ON x.g = y.g AND x.doc_id < y.doc_id WHERE 2 * least(length(x.t), length(y.t)) / greatest(length(x.t) + length(y.t), 1) >= 0.95")
-def length_bound_pairs(spark, sf):
-    return _opening_pairs(spark, sf).filter(length_bound(F.col("ta"), F.col("tb")) >= 0.95).select("a", "b")
+@query(
+    f"""WITH {_NEAR} SELECT x.doc_id, CAST(x.pos AS INTEGER) AS pos FROM o x JOIN o y ON x.doc_id = y.doc_id AND y.pos = x.pos + 1
+WHERE 2 * least(length(x.t), length(y.t)) / greatest(length(x.t) + length(y.t), 1) >= 0.95"""
+)
+def length_bound_neighbours(spark, sf):
+    return _neighbours(spark, sf).filter(length_bound(F.col("ta"), F.col("tb")) >= 0.95).select("doc_id", "pos")
 
 
 @query(
-    f"""WITH {_OPENINGS}, c AS (SELECT doc_id, g, ch, count(*) AS n FROM (SELECT doc_id, g, unnest(string_split(t, '')) AS ch FROM o) WHERE ch <> '' GROUP BY ALL),
-s AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(least(x.n, y.n)) AS shared FROM c x JOIN c y ON x.g = y.g AND x.ch = y.ch AND x.doc_id < y.doc_id GROUP BY ALL)
-SELECT a, b, CAST(round(2 * shared / (length(p.t) + length(q.t)) * 1000) AS BIGINT) AS bound FROM s JOIN o p ON p.doc_id = a JOIN o q ON q.doc_id = b WHERE 2 * shared / (length(p.t) + length(q.t)) >= 0.8"""
+    f"""WITH {_NEAR}, c AS (SELECT doc_id, pos, ch, count(*) AS n FROM (SELECT doc_id, pos, unnest(string_split(t, '')) AS ch FROM o) WHERE ch <> '' GROUP BY ALL),
+s AS (SELECT x.doc_id, x.pos, sum(least(x.n, y.n)) AS shared FROM c x JOIN c y ON x.doc_id = y.doc_id AND y.pos = x.pos + 1 AND x.ch = y.ch GROUP BY ALL)
+SELECT s.doc_id, CAST(s.pos AS INTEGER) AS pos, CAST(round(2 * shared / (length(p.t) + length(q.t)) * 1000) AS BIGINT) AS bound FROM s
+JOIN o p ON p.doc_id = s.doc_id AND p.pos = s.pos JOIN o q ON q.doc_id = s.doc_id AND q.pos = s.pos + 1 WHERE 2 * shared / (length(p.t) + length(q.t)) >= 0.8"""
 )
-def char_multiset_bound(spark, sf):
-    bound = multiset_bound(F.col("ta"), F.col("tb"))
-    near = _opening_pairs(spark, sf).filter(length_bound(F.col("ta"), F.col("tb")) >= 0.8).withColumn("x", bound).filter("x >= 0.8")
-    return near.select("a", "b", F.round(F.col("x") * 1000).cast("bigint").alias("bound"))
+def multiset_bound_neighbours(spark, sf):
+    near = _neighbours(spark, sf).filter(length_bound(F.col("ta"), F.col("tb")) >= 0.8)
+    near = near.withColumn("x", multiset_bound(F.col("ta"), F.col("tb"))).filter("x >= 0.8")
+    return near.select("doc_id", "pos", F.round(F.col("x") * 1000).cast("bigint").alias("bound"))
 
 
 @query()
-def similar_openings(spark, sf):
-    """Pairs of openings of one block of documents with a ratio of 0.6 or more, after both bounds."""
+def similar_neighbours(spark, sf):
+    """Lines with a ratio of 0.9 or more to the line after them, behind both bounds."""
     a, b = F.col("ta"), F.col("tb")
-    near = _opening_pairs(spark, sf).filter(length_bound(a, b) >= 0.6).filter(multiset_bound(a, b) >= 0.6)
-    return near.withColumn("r", ratio_column("ta", "tb")).filter("r >= 0.6").select("a", "b", F.round("r", 6).alias("similarity"))
+    near = _neighbours(spark, sf).filter(length_bound(a, b) >= 0.9).filter(multiset_bound(a, b) >= 0.9)
+    return near.withColumn("r", ratio_column("ta", "tb")).filter("r >= 0.9").select("doc_id", "pos", F.round("r", 6).alias("similarity"))
 
 
 # --- row-level reconciliation -----------------------------------------------------------------
 
-_REV = f"""{V.ROW_PAIRS}, rev AS (SELECT table_id, doc_id, 0 AS extra FROM rows_base WHERE doc_id % 7 <> 0 UNION ALL SELECT table_id, doc_id, 1 FROM rows_base WHERE doc_id % 7 = 2),
-b AS (SELECT table_id, doc_id, row_number() OVER (PARTITION BY table_id ORDER BY doc_id) AS r FROM rows_base),
-n AS (SELECT table_id, doc_id, extra, row_number() OVER (PARTITION BY table_id ORDER BY doc_id, extra) AS r FROM rev)"""
+_REV = f"""{V.ROW_PAIRS}, rev AS (SELECT table_id, nth, 0 AS extra FROM rows_base WHERE nth % 7 <> 0 UNION ALL SELECT table_id, nth, 1 FROM rows_base WHERE nth % 7 = 2),
+n AS (SELECT table_id, nth, extra, row_number() OVER (PARTITION BY table_id ORDER BY nth, extra) AS r FROM rev)"""
 
 
-def _with_header(rows: DataFrame, order: list[str]) -> DataFrame:
+def _with_header(rows: DataFrame, order: list[str], tables: DataFrame) -> DataFrame:
+    """The rows numbered behind a header, which every one of the tables has."""
     w = Window.partitionBy("table_id").orderBy(*order)
     body = rows.withColumn("row_idx", F.row_number().over(w)).select("table_id", "row_idx", "cells")
-    head = rows.select("table_id").distinct().select("table_id", F.lit(0).alias("row_idx"), F.array(F.lit("id"), F.lit("opening"), F.lit("origin")).alias("cells"))
+    head = tables.select("table_id", F.lit(0).alias("row_idx"), F.array(F.lit("id"), F.lit("line"), F.lit("origin")).alias("cells"))
     return head.unionByName(body)
 
 
 def _row_patch(spark, sf):
-    base = V.base_rows(spark, sf)
-    return tables.row_patch(_with_header(base, ["doc_id"]), _with_header(V.revised_rows(base), ["doc_id", "extra"]))
+    base, docs = V.base_rows(spark, sf), V.row_tables(spark, sf)
+    return tables.row_patch(_with_header(base, ["nth"], docs), _with_header(V.revised_rows(base), ["nth", "extra"], docs))
 
 
 @query(
     f"""WITH {_REV} SELECT table_id, 'keep' AS action, 0 AS base_row, 0 AS new_row FROM (SELECT DISTINCT table_id FROM rows_base)
-UNION ALL SELECT b.table_id, CASE WHEN b.doc_id % 7 = 1 THEN 'update' ELSE 'keep' END, CAST(b.r AS INTEGER), CAST(n.r AS INTEGER) FROM b JOIN n ON n.table_id = b.table_id AND n.doc_id = b.doc_id AND extra = 0
+UNION ALL SELECT b.table_id, CASE WHEN b.nth % 7 = 1 THEN 'update' ELSE 'keep' END, CAST(b.nth + 1 AS INTEGER), CAST(n.r AS INTEGER) FROM rows_base b JOIN n ON n.table_id = b.table_id AND n.nth = b.nth AND extra = 0
 UNION ALL SELECT table_id, 'insert', NULL, CAST(r AS INTEGER) FROM n WHERE extra = 1
-UNION ALL SELECT table_id, 'remove', CAST(r AS INTEGER), NULL FROM b WHERE doc_id % 7 = 0"""
+UNION ALL SELECT table_id, 'remove', CAST(nth + 1 AS INTEGER), NULL FROM rows_base WHERE nth % 7 = 0"""
 )
 def row_patch(spark, sf):
     return _row_patch(spark, sf).select("table_id", "action", "base_row", "new_row")
 
 
 @query(
-    f"""WITH {V.ROW_PAIRS}, b AS (SELECT table_id, doc_id, CAST(row_number() OVER (PARTITION BY table_id ORDER BY doc_id) AS INTEGER) AS r FROM rows_base)
-SELECT table_id, 'insert' AS action, CAST(NULL AS INTEGER) AS base_row, r AS new_row FROM b WHERE doc_id % 7 = 0
-UNION ALL SELECT table_id, 'remove', r, NULL FROM b WHERE doc_id % 7 = 0"""
+    f"""WITH {V.ROW_PAIRS} SELECT table_id, 'insert' AS action, CAST(NULL AS INTEGER) AS base_row, CAST(nth + 1 AS INTEGER) AS new_row FROM rows_base WHERE nth % 7 = 0
+UNION ALL SELECT table_id, 'remove', CAST(nth + 1 AS INTEGER), NULL FROM rows_base WHERE nth % 7 = 0"""
 )
 def row_key_stale(spark, sf):
     """Rows rewritten beyond recognition under the same key: the new one comes, the old one goes."""
-    base = V.base_rows(spark, sf)
-    other = F.array(F.col("doc_id").cast("string"), F.lit("0123456789" * 8), F.lit("QQQQ"))
-    new = base.withColumn("cells", F.when(F.col("doc_id") % 7 == 0, other).otherwise(F.col("cells")))
-    p = tables.row_patch(_with_header(base, ["doc_id"]), _with_header(new, ["doc_id"]))
+    base, docs = V.base_rows(spark, sf), V.row_tables(spark, sf)
+    other = F.array(F.get("cells", F.lit(0)), F.lit("0123456789" * 8), F.lit("QQQQ"))
+    new = base.withColumn("cells", F.when(F.col("nth") % 7 == 0, other).otherwise(F.col("cells")))
+    p = tables.row_patch(_with_header(base, ["nth"], docs), _with_header(new, ["nth"], docs))
     return p.filter("action in ('insert', 'remove')").select("table_id", "action", "base_row", "new_row")
 
 
-@query("SELECT table_id, doc_id, 2 AS col, lang || ' ' || source AS old, lang || ' ' || source || '1' AS new FROM (SELECT *, doc_id // 10 AS table_id FROM documents) WHERE doc_id % 7 = 1")
+@query(f"WITH {V.ROW_PAIRS} SELECT table_id, nth, 2 AS col, cells[3] AS old, cells[3] || '1' AS new FROM rows_base WHERE nth % 7 = 1")
 def changed_cells(spark, sf):
     base = V.base_rows(spark, sf)
-    new = V.revised_rows(base).filter("extra = 0").select("table_id", "doc_id", F.col("cells").alias("new_cells"))
-    both = base.join(new, ["table_id", "doc_id"])
-    return both.select("table_id", "doc_id", F.explode(tables.changed_cells(F.col("cells"), F.col("new_cells"))).alias("c")).select("table_id", "doc_id", "c.*")
+    new = V.revised_rows(base).filter("extra = 0").select("table_id", "nth", F.col("cells").alias("new_cells"))
+    both = base.join(new, ["table_id", "nth"])
+    return both.select("table_id", "nth", F.explode(tables.changed_cells(F.col("cells"), F.col("new_cells"))).alias("c")).select("table_id", "nth", "c.*")
 
 
 @query(
@@ -714,25 +715,27 @@ def bold_emphasis(spark, sf):
     return _patches(spark, sf, "bold")
 
 
-@query(
-    f"""WITH {V.TURNS} SELECT conv_id AS pair_id, CAST(turn AS INTEGER) AS sec_idx, upper(replace(heading, 'ß', 's')) AS heading, upper(replace(heading, 'ß', 's')) || ' X' AS new_heading FROM turns WHERE turn = 0 AND length(heading) >= 10"""
-)
+_CAPITALS = "upper(replace(heading, 'ß', 's'))"
+
+
+@query(f"WITH {V.TURNS} SELECT conv_id AS pair_id, CAST(turn AS INTEGER) AS sec_idx, {_CAPITALS} AS heading, {_CAPITALS} || ' X' AS new_heading FROM turns WHERE length(heading) >= 10")
 def rename_candidates(spark, sf):
-    t = V.turns(spark, sf).filter("turn = 0").withColumn("heading", F.upper(F.translate("heading", "ß", "s")))
+    """All headings of a conversation compete for as many lines in capitals, which stand in the opposite order."""
+    t = V.turns(spark, sf).withColumn("heading", F.upper(F.translate("heading", "ß", "s")))
     heads = t.select("conv_id", F.col("turn").cast("int").alias("sec_idx"), "heading")
-    source = t.select("conv_id", F.concat(F.lit("# title\nplain text\n"), F.col("heading"), F.lit(" X\nQQQQ ZZZZ")).alias("text"))
+    named = F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("turn", "heading")))), lambda x: F.concat(x["heading"], F.lit(" X")))
+    source = t.groupBy("conv_id").agg(F.concat(F.lit("# title\nplain text\n"), F.array_join(named, "\n"), F.lit("\nQQQQ ZZZZ")).alias("text"))
     return patch.rename_candidates(heads, source, "conv_id").select("pair_id", "sec_idx", "heading", "new_heading")
 
 
-@query(
-    f"""WITH {V.TURNS} SELECT conv_id, turn, k IN (0, 3, 4) OR (k = 1 AND len(w) < 6) AS unchanged FROM turns WHERE k <> 1 OR len(w) < 6"""
-)
+@query()
 def unchanged_sections(spark, sf):
-    t = V.turns(spark, sf)
+    """Every turn against its text in bold, lightly edited (k = 1) or cut to a third (k = 2)."""
     w = F.split("text", " ")
-    t = t.filter((F.col("k") != 1) | (F.size(w) < 6))
-    md = F.when(F.col("k") == 2, F.array_join(F.filter(w, lambda x, i: i % 3 == 0), " ")).otherwise(F.concat(F.lit("**"), F.col("text"), F.lit("**")))
-    pairs = t.select("conv_id", "turn", md.alias("md"), F.col("text").alias("base_text"), F.lit(0).alias("md_bullets"), F.lit(0).alias("base_bullets"), F.lit(False).alias("has_table"))
+    k = F.col("k")
+    edited = F.when(k == 1, F.array_join(F.filter(w, lambda x, i: i % 12 != 5), " ")).when(k == 2, F.array_join(F.filter(w, lambda x, i: i % 3 == 0), " "))
+    md = F.coalesce(edited, F.concat(F.lit("**"), F.col("text"), F.lit("**")))
+    pairs = V.turns(spark, sf).select("conv_id", "turn", md.alias("md"), F.col("text").alias("base_text"), F.lit(0).alias("md_bullets"), F.lit(0).alias("base_bullets"), F.lit(False).alias("has_table"))
     return patch.text_match(pairs).select("conv_id", "turn", "unchanged")
 
 
@@ -767,10 +770,32 @@ def docx_round_trip(spark, sf):
     return docx.read_blocks(docx.render(b, "conv_id")).select("doc_id", "pos", "kind", "level", "style_id", "text")
 
 
-@query("SELECT conv_id AS doc_id, 0 AS insertions, 0 AS deletions, 0 AS comments FROM conversations GROUP BY conv_id")
+def _with_changes(files: DataFrame) -> DataFrame:
+    """Documents with as many tracked insertions, deletions and comments as their row says."""
+
+    def run(frames):
+        for pdf in frames:
+            made = []
+            for r in pdf.itertuples():
+                word = lambda tag, inner, n: "".join(f'<w:p><w:{tag} w:id="{i}" w:author="a"><w:r><w:{inner}>x</w:{inner}></w:r></w:{tag}></w:p>' for i in range(n))
+                notes = "".join(f'<w:comment w:id="{i}" w:author="a"/>' for i in range(r.n_notes))
+                extra = {docx.PARTS["comments"]: f'<w:comments xmlns:w="{docx.W[1:-1]}">{notes}</w:comments>'.encode()} if r.n_notes else {}
+                made.append(docx.with_body_end(bytes(r.content), word("ins", "t", r.n_ins) + word("del", "delText", r.n_del), extra))
+            yield pdf[["doc_id"]].assign(content=made)
+
+    return files.mapInPandas(run, "doc_id long, content binary")
+
+
+@query(
+    f"""WITH {V.TURNS} SELECT conv_id AS doc_id, CAST(count(*) FILTER (k = 1) AS INTEGER) AS insertions, CAST(count(*) FILTER (k = 2) AS INTEGER) AS deletions,
+CAST(count(*) FILTER (k = 3) AS INTEGER) AS comments FROM turns GROUP BY conv_id"""
+)
 def docx_conflicts(spark, sf):
+    """Documents with an insertion, a deletion or a comment for each turn of k = 1, 2 or 3."""
     b = _conv_blocks(spark, sf).withColumns({"level": F.lit(1), "cells": F.lit(None).cast("array<string>"), "table_id": F.lit(None).cast("int")})
-    return docx.read_conflicts(docx.render(b, "conv_id"))
+    k = F.col("k")
+    n = V.turns(spark, sf).groupBy(F.col("conv_id").alias("doc_id")).agg(F.count_if(k == 1).alias("n_ins"), F.count_if(k == 2).alias("n_del"), F.count_if(k == 3).alias("n_notes"))
+    return docx.read_conflicts(_with_changes(docx.render(b, "conv_id").join(n, "doc_id")))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'update' ELSE 'create' END AS mode, CASE WHEN p_size % 5 = 0 THEN 'excel' WHEN p_size % 2 = 0 THEN 'edit' ELSE 'create' END AS approach FROM part")
@@ -1006,11 +1031,19 @@ def colon_boundary(spark, sf):
     return checks.colon_boundary(_strong(spark, sf), "page_id", "F14", source="source")
 
 
-@query("SELECT page_id, 'F-new4' AS issue_id, CASE WHEN page_id % 2 = 0 AND regexp_matches(html, '[aeiou]') THEN 'FAIL' ELSE 'PASS' END AS status FROM pages WHERE NOT regexp_matches(html, '[‘’“”]')")
+_QUOTED = f"CASE WHEN page_id % 2 = 0 THEN regexp_replace({_STRONG}, '[aeiou]', '’', 'g') ELSE {_STRONG} END"
+
+
+@query(
+    f"""WITH {V.PAGES_MD}, q AS (SELECT page_id, regexp_matches({_QUOTED}, '[‘’“”]') AS here, page_id % 3 = 0 OR regexp_matches(m.text, '[‘’“”]') AS there FROM pages p JOIN pages_md m USING (page_id))
+SELECT page_id, 'F-new4' AS issue_id, CASE WHEN here AND NOT there THEN 'FAIL' ELSE 'PASS' END AS status FROM q"""
+)
 def smart_quote_check(spark, sf):
-    p = _strong(spark, sf).filter(~F.col("html").rlike("[‘’“”]"))
-    curly = F.when(F.col("page_id") % 2 == 0, F.regexp_replace("html", "[aeiou]", "’")).otherwise(F.col("html"))
-    return checks.smart_quotes(p.withColumn("html", curly), "page_id", "F-new4", source="source")
+    """Curly quotes planted in every second page and in the source of every third."""
+    k = F.col("page_id")
+    curly = F.when(k % 2 == 0, F.regexp_replace("html", "[aeiou]", "’")).otherwise(F.col("html"))
+    source = F.when(k % 3 == 0, F.concat("source", F.lit(" “"))).otherwise(F.col("source"))
+    return checks.smart_quotes(_strong(spark, sf).withColumns({"html": curly, "source": source}), "page_id", "F-new4", source="source")
 
 
 @query(
@@ -1021,11 +1054,18 @@ def phrase_not_bold(spark, sf):
     return checks.phrase_not_bold(_strong(spark, sf), "page_id", "A9", "tail")
 
 
-@query("SELECT doc_id, 'A10' AS issue_id, CASE WHEN contains(text, '. ') AND doc_id % 2 = 0 AND NOT contains(text, '&nbsp;') THEN 'FAIL' ELSE 'PASS' END AS status FROM documents WHERE NOT contains(text, '  ') AND NOT contains(text, '|')")
+@query(
+    rf"""WITH d AS (SELECT doc_id, replace(text, '. ', '.  ') AS source, CASE WHEN doc_id % 2 = 0 THEN text ELSE replace(text, '. ', '.  ') END AS html FROM documents),
+l AS (SELECT doc_id, i, {STRIP('ls[i]')} AS s FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(source, chr(10)) AS ls FROM d))),
+c AS (SELECT doc_id, s, sum(CAST(starts_with(s, '```') AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS fences FROM l),
+n AS (SELECT DISTINCT doc_id FROM c WHERE fences % 2 = 0 AND contains(s, '  ') AND NOT regexp_matches(s, '^(\||!\[|---|```)'))
+SELECT d.doc_id, 'A10' AS issue_id, CASE WHEN n.doc_id IS NOT NULL AND NOT regexp_matches(html, '(^|[^\s])  ([^\s]|\n?$)') AND NOT contains(html, '&nbsp;') THEN 'FAIL' ELSE 'PASS' END AS status
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id"""
+)
 def double_space_check(spark, sf):
-    d = V.read(spark, sf, "documents").filter(~F.col("text").contains("  ") & ~F.col("text").contains("|"))
+    """Every second document is rendered without the double spaces that its source has behind full stops."""
     source = F.regexp_replace("text", r"\. ", ".  ")
-    d = d.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(source).alias("html"), source.alias("source"))
+    d = V.read(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(source).alias("html"), source.alias("source"))
     return checks.double_spaces(d, "doc_id", "A10")
 
 
@@ -1046,10 +1086,9 @@ _BOLDS = rf"regexp_extract_all(html, '(?is)<b>(.*?)<br>', 1)"
 _PLAIN = COLLAPSE(r"regexp_replace(x, '<[^>]+>', ' ', 'g')")
 
 
-@query(rf"SELECT page_id, array_to_string(list_transform({_BOLDS}, lambda x: {STRIP('x')} || ':/tail'), '|') AS items FROM pages WHERE NOT regexp_matches(html, '(?is)<b>[^<]*<[^b]')")
+@query(rf"SELECT page_id, array_to_string(list_transform({_BOLDS}, lambda x: {STRIP('x')} || ':/tail'), '|') AS items FROM pages")
 def html_bold_items(spark, sf):
-    p = _strong(spark, sf).join(V.read(spark, sf, "pages").filter(~F.col("html").rlike("(?is)<b>[^<]*<[^b]")).select("page_id"), "page_id", "left_semi")
-    return p.select("page_id", F.array_join(F.transform(checks.bold_items(F.col("html")), lambda x: F.concat_ws("/", x["bold"], x["after"])), "|").alias("items"))
+    return _strong(spark, sf).select("page_id", F.array_join(F.transform(checks.bold_items(F.col("html")), lambda x: F.concat_ws("/", x["bold"], x["after"])), "|").alias("items"))
 
 
 @query(

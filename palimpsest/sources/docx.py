@@ -279,6 +279,17 @@ def with_document(content: bytes, document: bytes) -> bytes:
     return buffer.getvalue()
 
 
+def with_body_end(content: bytes, markup: str, parts: dict[str, bytes]) -> bytes:
+    """A copy of a document made here with markup at the end of its body and more parts."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        document = z.read(PARTS["document"]).replace(b"<w:sectPr/></w:body>", markup.encode() + b"<w:sectPr/></w:body>")
+    buffer = io.BytesIO(with_document(content, document))
+    with zipfile.ZipFile(buffer, "a") as z:
+        for name, part in parts.items():
+            z.writestr(zipfile.ZipInfo(name, (2024, 1, 1, 0, 0, 0)), part)
+    return buffer.getvalue()
+
+
 def render(blocks: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Blocks (doc, pos, kind, level, text, cells, table_id) to (doc_id, content). A document's
     blocks meet in one row, as they must in one file."""

@@ -104,26 +104,27 @@ def conv_md_revised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _joined(turns(spark, sf_dir).select("conv_id", "turn", F.concat(before, _section(heading, text)).alias("part")))
 
 
-ROW_PAIRS = """rows_base AS (SELECT doc_id, doc_id // 10 AS table_id,
-  ['' || doc_id, substr(replace(replace(text, chr(10), ' '), '|', ' '), 1, 60), lang || ' ' || source] AS cells FROM documents)"""
+ROW_PAIRS = """rows_base AS (SELECT doc_id AS table_id, i - 1 AS nth, ['' || (i - 1), replace(ls[i], '|', ' '), lang || ' ' || source] AS cells
+  FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT *, string_split(text, chr(10)) AS ls FROM documents)))"""
+
+
+def row_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of the V5 tables."""
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("table_id"))
 
 
 def base_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V5: table rows of ten documents a table: (table_id, doc_id, cells)."""
-    opening = F.substring(F.translate("text", "\n|", "  "), 1, 60)
-    return read(spark, sf_dir, "documents").select(
-        F.expr("doc_id DIV 10").alias("table_id"),
-        "doc_id",
-        F.array(F.col("doc_id").cast("string"), opening, F.concat_ws(" ", "lang", "source")).alias("cells"),
-    )
+    """V5: a table for each document, a row for each of its lines, whole: (table_id, nth, cells)."""
+    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("table_id"), "lang", "source", F.posexplode(F.split("text", "\n")).alias("nth", "line"))
+    return rows.select("table_id", "nth", F.array(F.col("nth").cast("string"), F.translate("line", "|", " "), F.concat_ws(" ", "lang", "source")).alias("cells"))
 
 
 def revised_rows(base: DataFrame) -> DataFrame:
-    """V5 revised, by doc_id % 7: deleted, last cell changed, or a row inserted after it."""
-    k = F.col("doc_id") % 7
+    """V5 revised, by nth % 7: deleted, last cell changed, or a row inserted after it."""
+    k = F.col("nth") % 7
     changed = F.when(k == 1, F.array(F.get("cells", F.lit(0)), F.get("cells", F.lit(1)), F.concat(F.get("cells", F.lit(2)), F.lit("1")))).otherwise(
         F.col("cells")
     )
-    kept = base.filter(k != 0).select("table_id", "doc_id", F.lit(0).alias("extra"), changed.alias("cells"))
-    new = F.array(F.concat(F.col("doc_id").cast("string"), F.lit("x")), F.lit("1234567890"), F.lit("zzz qqq"))
-    return kept.unionByName(base.filter(k == 2).select("table_id", "doc_id", F.lit(1).alias("extra"), new.alias("cells")))
+    kept = base.filter(k != 0).select("table_id", "nth", F.lit(0).alias("extra"), changed.alias("cells"))
+    new = F.array(F.concat(F.col("nth").cast("string"), F.lit("x")), F.lit("1234567890"), F.lit("zzz qqq"))
+    return kept.unionByName(base.filter(k == 2).select("table_id", "nth", F.lit(1).alias("extra"), new.alias("cells")))
