@@ -132,6 +132,33 @@ def report(findings: list[DataFrame], doc: str) -> DataFrame:
     return all_of.groupBy("issue_id", "status").agg(F.count("*").alias("n"))
 
 
+def gated(findings: DataFrame, sets: DataFrame, doc: str, applicable: dict[str, list[str]]) -> DataFrame:
+    """Findings (doc, issue_id, status) with NOT_APPLICABLE where the document's set, from (doc,
+    doc_set), isn't one that the issue is checked for; "all" stands for any set. A document without
+    a set, and an issue that isn't named, are not applicable."""
+    allowed = F.lit(False)
+    for issue, names in applicable.items():
+        known = F.lit(True) if "all" in names else F.col("doc_set").isin(*names)
+        allowed = allowed | ((F.col("issue_id") == issue) & F.coalesce(known, F.lit(False)))
+    df = findings.join(sets.select(doc, "doc_set"), doc, "left")
+    return df.withColumn("status", F.when(allowed, F.col("status")).otherwise("NOT_APPLICABLE")).drop("doc_set")
+
+
+def verdicts(findings: DataFrame, doc: str) -> DataFrame:
+    """A row a document: its issues, comma-joined in their order, by what their status says: a
+    likely defect (FAIL), an artifact of the round trip (PASS), inconclusive, or not applicable.
+    Any other status counts as not applicable; "none" stands for no issue."""
+    named = F.col("status").isin("FAIL", "PASS", "INCONCLUSIVE")
+    of = lambda c: F.array_join(F.array_sort(F.collect_list(F.when(c, F.col("issue_id")))), ", ")
+    list_of = lambda c: F.when(F.count_if(c) > 0, of(c)).otherwise("none")
+    return findings.groupBy(doc).agg(
+        list_of(F.col("status") == "FAIL").alias("defects"),
+        list_of(F.col("status") == "PASS").alias("artifacts"),
+        list_of(F.col("status") == "INCONCLUSIVE").alias("inconclusive"),
+        list_of(~F.coalesce(named, F.lit(False))).alias("not_applicable"),
+    )
+
+
 def level_histogram(source: DataFrame, output: DataFrame, doc: str) -> DataFrame:
     """(doc, level, n_source, n_output, missing) of the levels that the source has; from sections."""
     a = source.filter("level > 0").groupBy(doc, "level").agg(F.count("*").alias("n_source"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import text as T
 from palimpsest.functions.json_text import json_answer, payload, unfenced
 from palimpsest.functions.similarity import length_bound, multiset_bound, ratio_column
-from palimpsest.operators import align, blocks, checks, dedup, edits, patch, styles, tables
+from palimpsest.operators import align, blocks, checks, dedup, edits, patch, planner, styles, tables
 from palimpsest.operators.sections import line_table, md_blocks, md_sections, resplit
 from palimpsest.plans.revise import choose_plan, revise
 from palimpsest.sources import docx
@@ -108,7 +109,7 @@ def page_paragraphs(spark, sf):
 
 @query(
     rf"""WITH {V.PAGES_MD}, b AS (SELECT page_id, text, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^[ \t]*[-*+]\s+(.+?)[ \t]*$')) AS ls FROM pages_md)
-SELECT page_id, regexp_matches(text, '(?m)^[ \t]*[-*]\s+') AS has_bullet, regexp_matches(text, '(?m)^[ \t]*\d+\.\s+') AS has_number, CAST(len(ls) AS INTEGER) AS n,
+SELECT page_id, regexp_matches(text, '(?m)^[ \\t]*[-*]\\s+') AS has_bullet, regexp_matches(text, '(?m)^[ \t]*\d+\.\s+') AS has_number, CAST(len(ls) AS INTEGER) AS n,
 array_to_string(list_transform(ls, lambda x: regexp_extract(x, '^[ \t]*[-*+]\s+(.+?)[ \t]*$', 1)), '|') AS bullets FROM b"""
 )
 def page_bullets(spark, sf):
@@ -1127,3 +1128,79 @@ def html_structure(spark, sf):
     e = checks.html_elements(V.read(spark, sf, "pages"), "page_id")
     return e.groupBy("page_id").agg(F.count_if(F.col("tag") == "li").alias("n_items"), F.count_if(F.col("level") == 1).alias("n_headings"))
 
+
+_SETS = {"A9": ["even"], "F5": ["odd"]}
+
+
+@query(
+    f"""WITH f AS (({ORACLES["bold_scope"]}) UNION ALL ({ORACLES["phrase_not_bold"]})),
+g AS (SELECT page_id, issue_id, CASE WHEN (issue_id = 'A9' AND page_id % 3 = 0) OR (issue_id = 'F5' AND page_id % 3 = 1) THEN status ELSE 'NOT_APPLICABLE' END AS status FROM f)
+SELECT page_id, {", ".join(f"coalesce(string_agg(issue_id, ', ' ORDER BY issue_id) FILTER (status = '{s}'), 'none') AS {n}" for s, n in (("FAIL", "defects"), ("PASS", "artifacts"), ("INCONCLUSIVE", "inconclusive"), ("NOT_APPLICABLE", "not_applicable")))}
+FROM g GROUP BY page_id"""
+)
+def check_verdicts(spark, sf):
+    """Two checks gated by document sets; every third page is in none."""
+    p = _strong(spark, sf)
+    found = checks.bold_scope(p, "page_id", "F5", 0.9, False).unionByName(checks.phrase_not_bold(p, "page_id", "A9", "tail"))
+    sets = p.select("page_id", F.when(F.col("page_id") % 3 == 0, "even").when(F.col("page_id") % 3 == 1, "odd").alias("doc_set"))
+    return checks.verdicts(checks.gated(found, sets, "page_id", _SETS), "page_id")
+
+
+# --- maps and plans by a callback -----------------------------------------------------------
+
+
+def map_equal(messages: list[dict]) -> str:
+    """A callback that maps sections to base sections of equal heading; in fences, after a refusal."""
+    if len(messages) == 1 and "turn 3 " in messages[0]["content"]:
+        return "I would rather not."
+    request = json.loads(messages[0]["content"])
+    known = set(request["base_headings"])
+    found = [(x["heading"], x["heading"] in known) for x in request["sections"]]
+    return "```json\n" + json.dumps([{"source_heading": h, "base_heading": h if k else None, "action": "replace" if k else "insert"} for h, k in found]) + "\n```"
+
+
+@query(
+    f"""WITH {V.TURNS} SELECT conv_id AS pair_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS ord, turn AS source_idx, heading,
+CASE WHEN k <> 4 THEN turn END AS base_idx, CASE WHEN k <> 4 THEN 'replace' ELSE 'insert' END AS action FROM turns"""
+)
+def callback_map(spark, sf):
+    """All turns against a base that lacks each fifth."""
+    t = V.turns(spark, sf).select(F.col("conv_id").alias("pair_id"), F.col("turn").alias("sec_idx"), "heading", F.col("text").alias("content"), "k")
+    return planner.section_map(t.drop("k"), t.filter("k <> 4").drop("k"), map_equal)
+
+
+def plan_echo(messages: list[dict]) -> str:
+    """A callback that answers each section with an empty paragraph under its own action."""
+    request = json.loads(messages[0]["content"])
+    return json.dumps([{"kind": x["action"], "target": x["target"], "content": "<w:p/>"} for x in request["sections"]])
+
+
+@query(
+    f"""WITH {V.TURNS}, a AS (SELECT *, CASE WHEN k <> 4 THEN heading ELSE coalesce(last_value(CASE WHEN k <> 4 THEN heading END IGNORE NULLS) OVER
+  (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '(end)') END AS target FROM turns),
+n AS (SELECT *, len(regexp_extract_all(text, '(?m)^[ \\t]*[-*]\\s+')) AS bullets FROM a WHERE k <> 0)
+SELECT conv_id AS pair_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS ord, CASE WHEN k = 4 THEN 'insert' ELSE 'replace' END AS kind, target,
+'<w:p/>' AS content, CASE WHEN bullets > 0 THEN 'bullet loss: 0 of ' || bullets END AS warning FROM n"""
+)
+def callback_plan(spark, sf):
+    """A plan for all turns but each fifth, which is unchanged; another fifth is new."""
+    k = F.col("k")
+    kept = lambda c: F.when(k != 4, F.col(c))
+    t = V.turns(spark, sf).select(
+        F.col("conv_id").alias("pair_id"), F.col("turn").alias("source_idx"), "heading", F.col("text").alias("content"), F.lit(2).alias("level"),
+        F.when(k == 0, "unchanged").when(k == 4, "insert").otherwise("replace").alias("action"),
+        kept("turn").alias("base_idx"), kept("heading").alias("base_heading"), F.lit(2).alias("base_level"),
+    )
+    return planner.edit_plan(t, plan_echo)
+
+
+@query(
+    f"""WITH {V.PAGES_MD}, b AS (SELECT p.page_id, CAST(len(regexp_extract_all(m.text, '(?m)^[ \\t]*[-*]\\s+')) AS INTEGER) AS wanted,
+CASE WHEN p.page_id % 3 = 0 THEN CAST(len(regexp_extract_all(p.html, '<li')) AS INTEGER) ELSE 0 END AS made FROM pages p JOIN pages_md m USING (page_id))
+SELECT page_id, wanted, made, wanted > 0 AND made < wanted * 0.5 AS lost FROM b"""
+)
+def bullet_loss(spark, sf):
+    """List paragraphs planted for the items of every third page, none for the others."""
+    html = F.when(F.col("page_id") % 3 == 0, F.replace("html", F.lit("<li"), F.lit("<p ListBullet"))).otherwise(F.col("html"))
+    wanted, made, lost = planner.bullet_loss(V.html_to_md(F.col("html")), html, F.lit("replace"))
+    return V.read(spark, sf, "pages").select("page_id", wanted.alias("wanted"), made.alias("made"), lost.alias("lost"))
